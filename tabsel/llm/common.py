@@ -126,8 +126,8 @@ class _Powers:
         if n > len(self.up):
             size = max(n, 1 << 16)
             base, inverse = int(_BASE) | 1, pow(int(_BASE) | 1, -1, 1 << 64)
-            self.up = np.cumprod(np.concatenate([[1], np.full(size - 1, base, U64)]).astype(U64))
-            self.down = np.cumprod(np.concatenate([[1], np.full(size - 1, inverse, U64)]).astype(U64))
+            self.up = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, base, U64)]))
+            self.down = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, inverse, U64)]))
         return self.up[:n], self.down[:n]
 
 

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import eliasfano, fertility, packing, toxicity
+from . import bpe, eliasfano, fertility, order_minhash, packing, separator_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
     "op2_tokeniser_fertility": fertility.query,
     "op5_toxicity": toxicity.query,
+    "op6_bpe": bpe.query,
+    "op7_order_minhash": order_minhash.query,
+    "op8_separator_scan": separator_scan.query,
     "op9_elias_fano": eliasfano.query,
 }
 
