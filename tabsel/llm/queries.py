@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, eliasfano, fertility, order_minhash, packing, separator_scan, toxicity
+from . import bpe, eliasfano, fertility, order_minhash, packing, separator_scan, superkmer, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_order_minhash": order_minhash.query,
     "op8_separator_scan": separator_scan.query,
     "op9_elias_fano": eliasfano.query,
+    "op10_super_kmers": superkmer.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
