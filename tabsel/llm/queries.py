@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, eliasfano, fertility, order_minhash, packing, separator_scan, superkmer, toxicity
+from . import ann, bpe, eliasfano, fertility, order_minhash, packing, quotation, separator_scan, superkmer, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
     "op2_tokeniser_fertility": fertility.query,
+    "op3_quotation_linking": quotation.query,
+    "op4_multiprobe": ann.query,
     "op5_toxicity": toxicity.query,
     "op6_bpe": bpe.query,
     "op7_order_minhash": order_minhash.query,
@@ -19,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_super_kmers": superkmer.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_quotation_linking": quotation.ORACLE_SQL}
