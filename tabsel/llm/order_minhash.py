@@ -23,6 +23,8 @@ from . import alignment
 from .common import U64, batches, checkpoint, content_key, documents, flat_bytes, fresh, mix, separators, span_hashes, word_bounds
 
 K, LABELS, HASHES, SIMILARITY = 3, 2, 32, 0.75
+#: Word classes of a profile.
+PROFILE = 256
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -100,16 +102,94 @@ def sketches(docs: DataFrame, text: str, k: int = K, hashes: int = HASHES) -> Da
 
 
 def packed_words(docs: DataFrame) -> DataFrame:
-    """(key, words): the 32-bit word hashes of each text of a table (key, text), one after another."""
+    """(key, size, profile, words) of a table (key, text): the 32-bit word hashes one after another, their number, and
+    how many of them fall into each of PROFILE classes (255 at most)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
             words, edges = words_of(batch.column("text"))
             raw = (words >> U64(32)).astype(np.uint32).tobytes()
             packed = pa.array([raw[4 * a : 4 * b] for a, b in zip(edges, edges[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), packed], names=["key", "words"])
+            row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            classes = np.bincount(row * PROFILE + (words % U64(PROFILE)).astype(np.int64), minlength=(len(edges) - 1) * PROFILE)
+            flat = np.minimum(classes, 255).astype(np.uint8).reshape(-1, PROFILE)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(edges).astype(np.int32)), pa.array([r.tobytes() for r in flat], pa.binary()), packed], names=["key", "size", "profile", "words"])
 
-    return docs.mapInArrow(run, "key bigint, words binary")
+    return docs.mapInArrow(run, "key bigint, size int, profile binary, words binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), PROFILE).astype(np.int16)
+
+
+def allowed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """The most edits that texts of n and m words may be apart."""
+    return np.floor((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+
+
+def possible(p: np.ndarray, q: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Whether the profiles allow for so few edits: an edit moves one word out of a class and one into a class at most."""
+    d = p - q
+    return np.maximum(np.maximum(d, 0).sum(-1), np.maximum(-d, 0).sum(-1)) <= limits
+
+
+def hopeful(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose lengths and profiles don't rule out the similarity."""
+    side = lambda c: words.select(F.col("key").alias(c), F.col("size").alias(f"n{c}"), F.col("profile").alias(f"p{c}"))
+    shorter, longer = F.least("na", "nb"), F.greatest("na", "nb")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(longer - shorter <= (1 - similarity) * longer + 1e-9)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            good = pa.array(possible(_matrix(batch.column("pa")), _matrix(batch.column("pb")), allowed(na, nb, similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+
+
+def across(members: DataFrame, similarity: float) -> DataFrame:
+    """The hopeful pairs (a, b) of each bucket whose keys have different roots and aren't the lead.
+
+    members: (bucket, key, lead, root, size, profile). The pairs are made where a bucket's rows lie together, by blocks
+    of profiles; only those that pass leave it.
+    """
+    spread = members.repartition("bucket").sortWithinPartitions("bucket", "size", "key")
+    names = ["bucket", "key", "lead", "root", "size", "profile"]
+
+    def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, root, size = (table.column(c).to_numpy() for c in ("key", "root", "size"))
+        rest = key != table.column("lead").to_numpy()
+        key, root, size, profile = key[rest], root[rest], size[rest], _matrix(table.column("profile"))[rest]
+        least = np.ceil(similarity * size - 1e-9)  # rows are sorted by size: partners of a row lie before it
+        for i in range(len(key)):
+            lo = int(np.searchsorted(size, least[i]))
+            at = np.arange(lo, i)
+            at = at[root[lo:i] != root[i]]
+            for x in range(0, len(at), 4096):
+                own = at[x : x + 4096]
+                own = own[possible(profile[own], profile[i], allowed(size[own], size[i], similarity))]
+                if len(own):
+                    a, b = np.minimum(key[own], key[i]), np.maximum(key[own], key[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in it:
+            bucket = batch.column("bucket").to_numpy()
+            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            if held and bucket[0] != held[-1].column("bucket")[0].as_py():
+                yield from pairs_of(pa.Table.from_batches(held))
+                held = []
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(bucket))):
+                if a:
+                    yield from pairs_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    return spread.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -125,10 +205,9 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
                 stop = max(at + 1, at + int(np.searchsorted(np.cumsum(size[at:]), 4 << 20)))
                 part = batch.slice(at, stop - at)
                 arrays = [[np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(c)] for c in ("wa", "wb")]
-                longer = np.array([max(len(x), len(y)) for x, y in zip(*arrays)])
-                limits = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
-                good = alignment.within(list(zip(*arrays)), limits) >= 0
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(good)), part.column("b").filter(pa.array(good))], names=["a", "b"])
+                limits = allowed(*(np.array([len(x) for x in side]) for side in arrays), similarity)
+                good = pa.array(alignment.within(list(zip(*arrays)), limits) >= 0)
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], names=["a", "b"])
                 at = stop
 
     return both.mapInArrow(run, "a bigint, b bigint")
@@ -181,18 +260,17 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, hashes:
     candidates = texts.select("key", F.col("first_id").alias("doc_id")).join(shared.select("key").distinct(), "key", "left_semi")
     same_row = (table["key"] == candidates["key"]) & table["doc_id"].eqNullSafe(candidates["doc_id"])
     firsts = table.join(candidates.hint("shuffle_hash"), same_row, "left_semi")
-    words = packed_words(firsts.select("key", "text")).groupBy("key").agg(F.first("words").alias("words"))
+    words = packed_words(firsts.select("key", "text")).groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "profile", "words")))
     words = checkpoint(words)  # of candidates alone, 4 bytes a word
     star = shared.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    edges = checkpoint(verified(star, words, similarity))
+    edges = checkpoint(verified(hopeful(star, words, similarity), words, similarity))
     roots = components(edges)
-    # texts of a bucket that are in different groups still
-    rest = rooted(shared.select("bucket", "key", "lead"), roots, "key")
-    mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    rest = rest.join(mixed, "bucket")
-    left, right = rest.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"), "lead"), rest.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, "bucket").where("a < b and ra <> rb and a <> lead").select("a", "b").distinct()  # a = lead was compared
-    more = checkpoint(verified(across, words, similarity))
+    # texts of a bucket that are in different groups still; buckets with the same texts once
+    rest = rooted(shared, roots, "key")
+    same_set = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"x{i}") for i in (1, 2)]
+    mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), *same_set).where("lo < hi and c > 2")
+    rest = rest.join(mixed.dropDuplicates(["c", "x1", "x2"]).select("bucket"), "bucket").join(words.select("key", "size", "profile"), "key")
+    more = checkpoint(verified(across(rest, similarity), words, similarity))
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     out = rooted(texts.select("key", "n_bytes", "first_id", "n", "n_first"), roots, "key")
