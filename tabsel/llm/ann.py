@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix
 
-K, TABLES, HASHES, WIDTH, PROBES = 10, 3, 4, 2.0, 12
+K, TABLES, HASHES, WIDTH, PROBES = 10, 3, 4, 2.0, 16
 #: Cells of a distance block.
 BLOCK = 1 << 20
 
