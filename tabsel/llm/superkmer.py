@@ -105,6 +105,21 @@ def packed(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("key", "doc_id", "text", "parts").mapInArrow(run, "mh bigint, key bigint, doc_id bigint, start int, n int, words binary")
 
 
+def _once(table: pa.Table) -> pa.Table:
+    """The table without rows that equal the one before in bucket, text, id and place."""
+    n = table.num_rows
+    same = np.ones(max(n - 1, 0), bool)
+    for name in ("mh", "key", "start"):
+        c = table.column(name).to_numpy()
+        same &= c[1:] == c[:-1]
+    if not same.any():
+        return table
+    ids = table.column("doc_id").to_pylist()
+    keep = np.ones(n, bool)
+    keep[1:] = ~(same & np.array([a == b for a, b in zip(ids, ids[1:])], bool))
+    return table.filter(pa.array(keep))
+
+
 def repeats(batch: pa.Table, window: int) -> list[np.ndarray]:
     """Runs of windows that aren't the first of their kind: (row, first window in the row, windows, row of the first occurrence).
 
@@ -161,11 +176,12 @@ def _carefully(raw: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray,
 
 def marked(strings: DataFrame, window: int) -> DataFrame:
     """(key, doc_id, start, n, first_id): the runs of windows that occurred before, in the order of (doc_id, key, start)."""
-    # a bucket's rows come together, in the order of the documents; repeated rows once
-    spread = strings.dropDuplicates(["mh", "key", "doc_id", "start"]).repartition("mh").sortWithinPartitions("mh", F.col("doc_id").asc_nulls_last(), "key", "start")
+    # a bucket's rows come together, in the order of the documents; repeated rows lie side by side and are taken once
+    spread = strings.repartition("mh").sortWithinPartitions("mh", F.col("doc_id").asc_nulls_last(), "key", "start")
     names = ["key", "doc_id", "start", "n", "first_id"]
 
     def found(table: pa.Table) -> pa.RecordBatch:
+        table = _once(table)
         row, first, n, head = repeats(table, window)
         at = pa.array(row)
         start = table.column("start").to_numpy()[row] + first if len(row) else np.empty(0)
