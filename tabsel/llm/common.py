@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Flat kernels work on slices of a batch of about this many bytes, so a worker's memory doesn't follow the batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -138,7 +138,11 @@ def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each byte span, whatever its place: differences of one running polynomial sum."""
     up, down = _powers.get(len(flat) + 1)
     total = np.zeros(len(flat) + 1, U64)
-    np.cumsum((flat.astype(U64) + U64(1)) * up[:-1], out=total[1:])
+    terms = total[1:]  # in place: these are the largest arrays of a worker
+    terms[:] = flat
+    terms += U64(1)
+    terms *= up[:-1]
+    np.cumsum(terms, out=terms)
     return mix((total[ends] - total[starts]) * down[starts])
 
 
@@ -156,8 +160,27 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to give back
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: reused workers would keep the most that any task before has used."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def batches(it: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The batches in slices of bounded bytes of their text column."""
     for batch in it:
         for a, b in text_slices(batch.column(text)):
             yield batch.slice(a, b - a)
+        del batch
+        release()

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, batches, checkpoint, content_key, documents, flat_bytes, fresh, mix, ragged, separators, span_hashes, word_bounds
+from .common import U64, _powers, batches, checkpoint, content_key, documents, flat_bytes, fresh, mix, ragged, release, separators, span_hashes, word_bounds
 
 WINDOW, MINIMISER = 50, 8
 #: Whole buckets of about this many bytes are sorted together.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 _PLACE = U64((1 << 24) - 1)
 
 
@@ -44,7 +44,7 @@ def super_kmers(words: np.ndarray, edges: np.ndarray, window: int = WINDOW, m: i
     if len(words) > int(_PLACE):  # more than 16 million words in one text: places need the bits of the hash
         raise ValueError("a text of more than 2^24 words")
     gram = rolling(words, m)
-    least = (gram & ~_PLACE) | np.arange(len(gram), dtype=U64)  # equal hashes: the leftmost
+    least = (gram & ~_PLACE) | np.arange(len(gram), dtype=U64)
     reach, width = window - m + 1, 1
     while 2 * width <= reach:
         least = np.minimum(least[:-width], least[width:])
@@ -212,6 +212,8 @@ def marked(strings: DataFrame, window: int) -> DataFrame:
             rest = table.slice(whole).combine_chunks()
             held = [b for b in pa.Table.from_arrays([pa.concat_arrays(c.chunks) for c in rest.columns], names=rest.column_names).to_batches()]
             size = sum(b.nbytes for b in held)
+            del table, rest, batch
+            release()
         if held:
             yield found(pa.Table.from_batches(held))
 
