@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, batches, checkpoint, content_key, documents, flat_bytes, fresh, mix, ragged, release, separators, span_hashes, word_bounds
+from .common import U64, _powers, batches, checkpoint, content_key, documents, flat_bytes, mix, ragged, release, separators, span_hashes, word_bounds
 
 WINDOW, MINIMISER = 50, 8
 #: Whole buckets of about this many bytes are sorted together.
 SORT_BYTES = 1 << 20
-_PLACE = U64((1 << 24) - 1)
+#: A minimiser is the least of (34 bits of a hash, place in 30 bits): equal hashes go to the leftmost, alike in equal windows.
+_PLACE = U64((1 << 30) - 1)
 
 
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
@@ -41,8 +42,6 @@ def super_kmers(words: np.ndarray, edges: np.ndarray, window: int = WINDOW, m: i
     at = ragged(edges[:-1], count)
     if not len(at):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(words) > int(_PLACE):  # more than 16 million words in one text: places need the bits of the hash
-        raise ValueError("a text of more than 2^24 words")
     gram = rolling(words, m)
     least = (gram & ~_PLACE) | np.arange(len(gram), dtype=U64)
     reach, width = window - m + 1, 1
