@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,19 @@ def measured(docs: DataFrame, text_col: str, lang_col: str, folder: str) -> tupl
     return source.mapInArrow(run, T.StructType([*source.schema.fields, *new])), names
 
 
+def medians(rows: DataFrame, groups: list[str], values: dict[str, Column], scale: int) -> list[dict]:
+    """Lower medians of the values, to 1 / scale, by groups: the same for any partitioning.
+
+    Counted in bins, so what moves follows the groups and the bins, not the documents.
+    """
+    long = rows.select(*groups, F.inline(F.array(*(F.struct(F.lit(m).alias("m"), F.round(c * scale).cast("long").alias("v")) for m, c in values.items()))))
+    bins = long.groupBy(*groups, "m", "v").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(*groups, "m").orderBy("v")
+    bins = bins.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*groups, "m")))
+    found = bins.where(2 * F.col("upto") >= F.col("n")).groupBy(*groups, "m").agg((F.min("v") / scale).alias("x"))
+    return [r.asDict() for r in found.orderBy(*groups, "m").collect()]
+
+
 def learn(rows: DataFrame, spread: float) -> dict[str, dict[str, tuple[float, float, float]]]:
     """band_key -> metric -> (middle, its slope by log2 of the tokens, half width times sqrt(tokens)), over all rows.
 
@@ -86,14 +99,17 @@ def learn(rows: DataFrame, spread: float) -> dict[str, dict[str, tuple[float, fl
     """
     full = rows.where(F.col("n_tokens") >= LEAST_TOKENS)
     log = F.log2("n_tokens")
-    cells = full.groupBy("band_key", F.floor(log).alias("b")).agg(F.count("*").alias("n"), F.avg(log).alias("x"), *(F.percentile_approx(m, 0.5, 2000).alias(m) for m in METRICS)).collect()
+    full = full.withColumn("b", F.floor(log))
+    # sums of rounded logarithms: whole numbers, so their order doesn't matter
+    cells = [r.asDict() for r in full.groupBy("band_key", "b").agg(F.count("*").alias("n"), (F.sum(F.round(log * 1e6).cast("long")) / F.count("*") / 1e6).alias("x")).orderBy("band_key", "b").collect()]
+    mid_of = {(r["band_key"], r["b"], r["m"]): r["x"] for r in medians(full, ["band_key", "b"], {m: F.col(m) for m in METRICS}, 1000)}
     mids: dict[str, dict[str, tuple[float, float]]] = {}
-    for key in {r["band_key"] for r in cells}:
+    for key in sorted({r["band_key"] for r in cells}):
         own = [r for r in cells if r["band_key"] == key]
         w, x = np.array([r["n"] for r in own], float), np.array([r["x"] for r in own])
         mids[key] = {}
         for m in METRICS:
-            y = np.array([r[m] for r in own])
+            y = np.array([mid_of[key, r["b"], m] for r in own])
             if m == "entropy_gap" and len(own) > 1:
                 mx, my = w @ x / w.sum(), w @ y / w.sum()
                 slope = float((w * (x - mx)) @ (y - my) / ((w * (x - mx)) @ (x - mx)))
@@ -103,9 +119,9 @@ def learn(rows: DataFrame, spread: float) -> dict[str, dict[str, tuple[float, fl
                 mids[key][m] = (float(y[order][np.searchsorted(np.cumsum(w[order]), w.sum() / 2)]), 0.0)
     if not mids:
         return {}
-    z = [F.abs(F.col(m) - middle(mids, m)) * F.sqrt("n_tokens") for m in METRICS]
-    devs = full.groupBy("band_key").agg(*(F.percentile_approx(c, 0.5, 2000).alias(m) for c, m in zip(z, METRICS))).collect()
-    return {r["band_key"]: {m: (*mids[r["band_key"]][m], spread * r[m]) for m in METRICS} for r in devs}
+    z = {m: F.abs(F.col(m) - middle(mids, m)) * F.sqrt("n_tokens") for m in METRICS}
+    dev = {(r["band_key"], r["m"]): r["x"] for r in medians(full, ["band_key"], z, 1000)}
+    return {key: {m: (*mids[key][m], spread * dev[key, m]) for m in METRICS} for key in mids}
 
 
 def by_key(table: dict, pick) -> Column:
