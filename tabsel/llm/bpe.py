@@ -24,10 +24,12 @@ from .common import documents, flat_bytes, fresh, ragged, text_slices
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Chunks that the store of a worker holds before it starts anew.
 STORE = 500_000
+#: Texts of about this many bytes share their merge rounds.
+ROUND_BYTES = 2 << 20
 NONE = np.int64(1 << 40)
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: Other white space and controls: a text with any of these is not cut into chunks before the pattern.
-_OTHER = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_OTHER = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = regex.compile(vocab.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s+(?!\S)|\s+", r"\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"))
 
 
@@ -208,7 +210,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, folder)
         for batch in it:
-            for a, b in text_slices(batch.column(1)):
+            for a, b in text_slices(batch.column(1), ROUND_BYTES):
                 column = batch.column(1).slice(a, b - a)
                 ids, counts = enc.encode([t or "" for t in column.to_pylist()])
                 flat, offs = flat_bytes(column)

@@ -1,7 +1,6 @@
 """Kernels against brute force, without Spark."""
 
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
