@@ -459,7 +459,7 @@ def leaderboard(spark: SparkSession, sf: str, models: list[str], folds_: int = 3
     from ..config import CVConfig, FEConfig, RunConfig
     from .automl import AutoML
 
-    rows = planted(spark, sf).drop("z").limit(20_000)
+    rows = planted(spark, sf).drop("z")
     config = RunConfig(n_boot=1000, run_mode="selection", cv=CVConfig(n_splits=folds_), fe=FEConfig(frequency_encoding=True, target_encoding=True))
     run = AutoML(Task("binary"), config, models).fit(rows, "y")
     return spark.createDataFrame(run.result.leaderboard, "model_id string, score double, rank int, in_band boolean, is_winner boolean")
