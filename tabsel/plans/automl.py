@@ -21,7 +21,7 @@ from ..functions.metrics import resolve
 from ..operators import calibration, ensemble, features, folds, profile, selection
 from ..sources.tables import data_signature
 from . import models
-from .evaluate import Budget, evaluate, out_of_fold
+from .evaluate import Budget, evaluate, out_of_fold, refine
 
 log = logging.getLogger("tabsel")
 
@@ -85,6 +85,11 @@ class AutoML:
         self.fingerprint = fingerprint
         budget = Budget(c.budget.time_budget_s, c.budget.n_trials, c.budget.memory_limit_mb)
         self.result = evaluate(specs, encoded, self.schema.features, classes, self.metric.name, k, parts, c.seed, c.alpha, c.n_boot, c.significance, "fold" if parts is not None else None, c.cv.weighting, budget, f"{self.store}/{fingerprint}" if self.store else None)
+        self.refined = None
+        if c.cv.selection == "refined" and classes == 2 and parts is None:
+            self.refined = refine(self.result, self.metric.name, least=c.cv.refinement_min_oof)
+            if self.refined in self.result.band:
+                self.result.winner = self.refined
         self._timed("evaluate", t)
         by_name = {s.name: s for s in specs}
         self.weights = {self.result.winner: 1.0}
@@ -293,7 +298,7 @@ class AutoML:
         return {
             "run_manifest_version": 1, "task": self.task.kind, "metric": self.metric.name, "config": json.loads(json.dumps(asdict(self.config), default=str)), "timings": self.timings, "winner": r.winner, "failed": r.failed,
             "holdout_score": self.holdout_score, "holdout_optimism": self.holdout_optimism, "leaderboard": r.leaderboard, "band": {"member_ids": r.band, "unstable": r.unstable, "width": len(r.band), "winner_by_tiebreak": r.winner != r.leaderboard[0]["model_id"]},
-            "budget": {"exhausted": r.exhausted_by is not None, "exhausted_by": r.exhausted_by, "skipped": r.skipped}, "significance": self.config.significance, "cv": {"scheme": self.config.cv.scheme, "n_splits": self.config.cv.n_splits},
+            "budget": {"exhausted": r.exhausted_by is not None, "exhausted_by": r.exhausted_by, "skipped": r.skipped}, "significance": self.config.significance, "refined_winner": self.refined, "cv": {"scheme": self.config.cv.scheme, "n_splits": self.config.cv.n_splits},
             "feature_selection": self.feature_selection, "native_routing": self.schema.native(self.task.native_cat_max_unique), "hpo": self.tuned or None, "ensemble": self.ensemble, "serving": {"models": self.weights, "calibration": self.calibration},
             "typing": [{k: row[k] for k in ("column_name", "role", "reason")} for row in self.typing if row["reason"]], "fe_fit_on": self.config.fe.fit_on, "run_fingerprint": self.fingerprint, "cache": {"enabled": self.store is not None},
         }

@@ -6,6 +6,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +134,10 @@ def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], class
                 return scores[a] == scores[b]
             pa = table.where(F.col("model_id") == a).select("rid", "y", "w", F.col("p").alias("pa"), *([block] if block else []))
             pb = table.where(F.col("model_id") == b).select("rid", F.col("p").alias("pb"))
+            if weighting == "period":  # each block's difference weighs the same
+                per = {(r["model_id"], r["fold"]): r["score"] for r in m.score(table.where(F.col("model_id").isin(a, b)), ["model_id", "fold"]).collect()}
+                d = [per.get((a, f)) - per.get((b, f)) for f in sorted({f for _, f in per}) if per.get((a, f)) is not None and per.get((b, f)) is not None]
+                return bootstrap.equivalent(bootstrap.block_deltas(np.array(d, float), n_boot, seed), alpha)
             return bootstrap.equivalent(bootstrap.deltas(pa.join(pb, "rid"), metric, n_boot, seed, block), alpha)
 
         members = bootstrap.band(order, same)
@@ -144,6 +149,23 @@ def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], class
     return Result(board, members, best, failed, skipped, by, len(order) > 1 and order[1] in members, table)
 
 
+def refine(result: Result, metric: str, block: str = "fold", kind: str = "auto", least: int = 2000) -> str | None:
+    """The candidate whose cross-fitted calibrated predictions have the least proper loss; None where a candidate has too few rows.
+
+    All or nothing: scores are compared calibrated for all candidates, or left as they are.
+    """
+    from ..operators import calibration
+
+    proper, losses = metric if metric in ("log_loss", "brier") else "log_loss", {}
+    for r in result.leaderboard:
+        rows = result.oof.where(F.col("model_id") == r["model_id"])
+        if rows.count() < least or not calibration.viable_blocks(rows, block).where("not viable").isEmpty():
+            return None
+        mapped = calibration.crossfit(rows, block, kind).drop("p").withColumnRenamed("p_cal", "p")
+        losses[r["model_id"]] = METRICS[proper].score(mapped).first()["score"]
+    return min(losses, key=lambda x: (losses[x], x))
+
+
 def _done(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

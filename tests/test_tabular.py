@@ -275,6 +275,17 @@ def test_time_scheme_selection_and_budget(spark):
     assert short.result.skipped == ["linear"] and short.result.exhausted_by == "trials"
 
 
+def test_refined_selection_and_period_band(spark):
+    from tabsel.plans.evaluate import evaluate, refine
+    from tabsel.plans.models import ZOO
+
+    d = planted(spark, 400, "binary").withColumn("rid", F.monotonically_increasing_id()).withColumn("w", F.lit(1.0)).cache()
+    d = folds.kfold(d, "rid", 4)
+    r = evaluate([ZOO["baseline"], ZOO["linear"]], d, ["x1"], 2, "log_loss", 4, weighting="period", n_boot=1000)
+    assert r.winner == "linear" and r.band == ["linear"]
+    assert refine(r, "log_loss", kind="sigmoid", least=100) == "linear" and refine(r, "log_loss", least=10_000) is None
+
+
 def test_sources(spark, tmp_path):
     from tabsel.sources import tables
 
