@@ -75,8 +75,14 @@ class FSConfig:
     seq_min_features: int = 1
     seq_patience: int = 2
     max_refits: int = 500
+    compare: tuple[str, ...] = ()
+    selection_holdout: float = 0.25
 
     def __post_init__(self) -> None:
+        for other in self.compare:
+            FSConfig(strategy=other)
+        if not 0 < self.selection_holdout < 1:
+            raise ConfigError("selection_holdout is outside (0, 1)")
         if self.strategy not in ("importance", "null_importance", "random_probe", "permutation", "sequential"):
             raise ConfigError(f"unknown strategy {self.strategy!r}")
         if not 0 < self.top_frac <= 1:

@@ -191,37 +191,60 @@ class AutoML:
         return best[1]
 
     def _select(self, encoded: DataFrame, classes: int, parts, k: int) -> None:
-        """A subset of the features by the configured strategy; kept only if the full set isn't significantly better."""
+        """A subset of the features by the configured strategy; kept only if the full set isn't significantly better.
+
+        With several strategies to compare, each selects on the rows outside a holdout, a ranker fitted there scores
+        its subset on the holdout, and the first of the best goes on to select on all rows.
+        """
+        fs = self.config.fs
+        strategy, scores = fs.strategy, None
+        if fs.compare and parts is None:
+            held = folds.holdout(encoded, "rid", fs.selection_holdout, "y" if self.task.is_classification else None, self.config.seed + 7)
+            fit, test = held.where(~F.col("is_test")).drop("is_test").persist(), held.where("is_test").drop("is_test").persist()
+            ranker, scores = models.registry()["forest"].with_params({"trees": 20}), {}
+            for name in fs.compare:
+                subset = self._subset(fit, name, classes, parts, k)[0]
+                rows = ranker.fit(fit, subset, "y", "w", classes, self.config.seed).transform(test)
+                scores[name] = self.metric.sign * self.metric.score(rows).first()["score"]
+            strategy = max(fs.compare, key=lambda n: (scores[n], -fs.compare.index(n)))
+            fit.unpersist()
+            test.unpersist()
+        subset, report = self._subset(encoded, strategy, classes, parts, k)
+        self.feature_selection = report | {"compared": scores}
+        if report["gate"] == "subset":
+            self.schema = self.schema.select(subset)
+
+    def _subset(self, encoded: DataFrame, strategy: str, classes: int, parts, k: int) -> tuple[list[str], dict]:
         c, fs, names = self.config, self.config.fs, self.schema.features
-        if (cost := selection.refits(fs.strategy, k, len(names), fs.n_runs, fs.seq_min_features)) > fs.max_refits:
-            raise ConfigError(f"{fs.strategy} costs {cost} fits, {fs.max_refits} are allowed")
+        if (cost := selection.refits(strategy, k, len(names), fs.n_runs, fs.seq_min_features)) > fs.max_refits:
+            raise ConfigError(f"{strategy} costs {cost} fits, {fs.max_refits} are allowed")
         ranker = models.registry()["forest"].with_params({"trees": 20})
         oof = lambda subset: out_of_fold(ranker, encoded, subset, classes, parts, k, c.seed)
         value = lambda rows: self.metric.sign * self.metric.score(rows).first()["score"]
-        if fs.strategy == "sequential":
+        if strategy == "sequential":
             keep, path = selection.sequential(len(names), lambda s: value(oof([names[i] for i in s])), fs.seq_min_features, fs.seq_patience)
             scores = None
         else:
             total = np.zeros(len(names))
             for f in range(k):
                 train = encoded.where(F.col("fold") != f)
-                cols = names + [f"__probe{i}" for i in range(fs.n_probes)] if fs.strategy == "random_probe" else names
-                train = selection.probes(train, "rid", fs.n_probes, c.seed) if fs.strategy == "random_probe" else train
+                cols = names + [f"__probe{i}" for i in range(fs.n_probes)] if strategy == "random_probe" else names
+                train = selection.probes(train, "rid", fs.n_probes, c.seed) if strategy == "random_probe" else train
                 fitted = ranker.fit(train, cols, "y", "w", classes, c.seed)
                 imp = np.array(fitted.importances)
-                if fs.strategy == "random_probe":
+                if strategy == "random_probe":
                     imp = selection.probe_margin(imp[: len(names)], imp[len(names) :])
-                elif fs.strategy == "null_importance":
+                elif strategy == "null_importance":
                     blocks = folds.structure_blocks(train, "rid", block=fs.null_block_size)
                     runs = [np.array(ranker.fit(folds.permute(blocks, "rid", "y", "block", selection.stable_seed(c.seed, f, r)).drop("y").withColumnRenamed("y_permuted", "y"), names, "y", "w", classes, c.seed).importances) for r in range(fs.n_runs)]
                     imp = selection.null_margin(imp, np.stack(runs), fs.null_percentile)
-                elif fs.strategy == "permutation":
+                elif strategy == "permutation":
                     test = encoded.where(F.col("fold") == f)
                     base = value(fitted.transform(test))
                     imp = np.array([base - value(fitted.transform(_shuffled(test, n, c.seed))) for n in names])
                 total += selection.normalise(imp) / k
             scores = total
-            keep = selection.cutoff(total, fs.cutoff, fs.top_k, fs.top_frac, 0.0 if fs.strategy in ("null_importance", "random_probe", "permutation") else None, fs.min_features)
+            keep = selection.cutoff(total, fs.cutoff, fs.top_k, fs.top_frac, 0.0 if strategy in ("null_importance", "random_probe", "permutation") else None, fs.min_features)
         subset = [names[i] for i in keep]
         a, b = oof(names), oof(subset)
         lost = False
@@ -230,9 +253,7 @@ class AutoML:
 
             rows = a.select("rid", "y", "w", F.col("p").alias("pa")).join(b.select("rid", F.col("p").alias("pb")), "rid")
             lost = not equivalent(deltas(rows, self.metric.name, c.n_boot, c.seed), c.alpha) and value(a) > value(b)
-        self.feature_selection = {"strategy": fs.strategy, "scores": None if scores is None else dict(zip(names, map(float, scores))), "kept": names if lost else subset, "gate": "full_set_better" if lost else "subset"}
-        if not lost:
-            self.schema = self.schema.select(subset)
+        return (names if lost else subset), {"strategy": strategy, "scores": None if scores is None else dict(zip(names, map(float, scores))), "kept": names if lost else subset, "gate": "full_set_better" if lost else "subset"}
 
     def _blend(self, classes: int) -> dict:
         c, names = self.config, [r["model_id"] for r in self.result.leaderboard]

@@ -275,6 +275,16 @@ def test_time_scheme_selection_and_budget(spark):
     assert short.result.skipped == ["linear"] and short.result.exhausted_by == "trials"
 
 
+def test_compared_strategies(spark):
+    from tabsel.plans.automl import AutoML
+
+    d = planted(spark, 300, "binary")
+    config = RunConfig(n_boot=1000, significance="none", run_mode="selection", cv=CVConfig(n_splits=2), fs=FSConfig(compare=("importance", "random_probe"), cutoff="top_k", top_k=2))
+    run = AutoML(Task("binary"), config, ["linear"]).fit(d, "y")
+    assert set(run.feature_selection["compared"]) == {"importance", "random_probe"} and run.feature_selection["strategy"] in ("importance", "random_probe")
+    assert {"x1", "cat"} <= set(run.feature_selection["kept"])
+
+
 def test_refined_selection_and_period_band(spark):
     from tabsel.plans.evaluate import evaluate, refine
     from tabsel.plans.models import ZOO
