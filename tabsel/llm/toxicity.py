@@ -141,7 +141,7 @@ def pattern(lexicon: dict[str, float]) -> str:
     trie: dict = {}
     for w in lexicon:
         node = trie
-        for x in re.sub(r"(.)\1+", r"\1", w):  # a doubled letter is one run: runs may have any length
+        for x in w:  # a doubled letter is two runs: they may stand apart or together
             node = node.setdefault(x, {})
         node[""] = {}
 

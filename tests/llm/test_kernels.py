@@ -1,6 +1,7 @@
 """Kernels against brute force, without Spark."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,20 @@ def test_pattern_covers_every_reading():
         assert not regex.search(p, s.lower()), s
 
 
+def is_covered(noisy, word, language):
+    """Whether decoding all of noisy gives the word, and decoding what the pattern finds in it does as well."""
+    import regex
+
+    words = lambda text: re.split("[^a-z]+", toxicity.decode(text, language))
+    found = regex.findall(toxicity.pattern({"book": 1.0, "little": 1.0, "idiot": 1.0}), noisy)
+    return word in words(noisy) and any(word in words(s) for s in found)
+
+
+@pytest.mark.parametrize("noisy,word", [("b o o k", "book"), ("b-o-o-k", "book"), ("b o oo k", "book"), ("bo 0k", "book"), ("boook", "book"), ("l i t t l e", "little"), ("l.i.t.t.l.e", "little"), ("l i tt l e", "little"), ("i d ii o t", "idiot")])
+def test_pattern_covers_doubled_letters_apart(language, noisy, word):
+    assert is_covered(noisy, word, language)
+
+
 def test_order_minhash_depends_on_order_and_occurrence():
     words, edges = omh.words_of(pa.array(["a b c d e f g h", "a b c d e f g h", "e f g h a b c d", "a b c d e f g h a b c d e f g h", "x"]))
     s = omh.sketch(words, edges, k=1)
