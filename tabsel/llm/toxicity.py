@@ -5,8 +5,9 @@ repetition give each stretch of text a lattice of readings; Viterbi decoding res
 restored words are scored by a lexicon. The lexicon is fitted on a bounded sample of labelled documents.
 
 Only stretches that have some reading with a lexicon word can change a score. One regular expression describes just
-these (every letter as a run of its look-alikes, a few separators in between), so the executors find them in the JVM
-and decode them alone: no path of any other stretch spells a lexicon word, whatever the language model says.
+these (every letter as a run or one of its look-alikes, any number of separators, line breaks and digits in between),
+so the executors find them in the JVM and decode them alone: no path of any other stretch that starts and ends beside
+neither letter nor digit spells a lexicon word, whatever the language model says.
 """
 
 from __future__ import annotations
@@ -124,37 +125,59 @@ def prior(labels: DataFrame) -> float:
 
 
 @lru_cache(maxsize=1)
-def _alike() -> dict[str, str]:
-    out = defaultdict(str)
-    for cp in np.flatnonzero(_fold()[:0x250]):
-        out[base_letter(chr(cp))] += chr(cp)
-    for mark, letters in LEET.items():
-        for x in letters:
-            out[x] += mark
-    return dict(out)
+def _alike() -> tuple[dict[str, str], dict[str, str]]:
+    """The letters and the marks that can be read as a letter."""
+    letters, marks = defaultdict(str), defaultdict(str)
+    for cp in np.flatnonzero(_fold()):
+        letters[base_letter(chr(cp))] += chr(cp)
+    for mark, read in LEET.items():
+        for x in read:
+            marks[x] += mark
+    return dict(letters), dict(marks)
+
+
+def _ranges(cps: np.ndarray) -> str:
+    """Rising code points as the inside of a character class."""
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" if len(r) > 1 else chr(r[0]) for r in np.split(cps, np.flatnonzero(np.diff(cps) > 1) + 1))
 
 
 def pattern(lexicon: dict[str, float]) -> str:
-    """Matches every stretch with a reading that is a lexicon word (Java and Python syntax)."""
-    cls = lambda x: "[" + "".join(re.escape(c) if c.isascii() and not c.isalnum() else c for c in _alike()[x]) + "]+"
-    gap = r"[^\p{L}\p{N}\n]{0,3}"
+    """Matches every stretch with a reading that is a lexicon word (Java and Python syntax).
+
+    All that is no letter may be dropped, so a gap has any length. Among the marks of one gap the first that can be
+    read as the next letter leaves most for those after it; the other choice is the letter that ends the gap. A place
+    is therefore tried in at most two ways, whatever the gap.
+    """
+    letters, marks = _alike()
+    escape = lambda cs: "".join(re.escape(c) if c.isascii() and not c.isalnum() else c for c in cs)
+    every = _ranges(np.flatnonzero(_fold()))
+    end = r"(?![\p{L}\p{N}])"
     trie: dict = {}
     for w in lexicon:
         node = trie
-        for x in w:  # a doubled letter is two runs: they may stand apart or together
+        for x in w:
             node = node.setdefault(x, {})
         node[""] = {}
 
-    def tail(node: dict) -> str:
-        """What may follow: words share their beginnings, so a place in the text is tried once for each first letter."""
-        parts = [cls(x) + tail(node[x]) for x in sorted(node) if x]
-        body = "|".join(parts)
-        if not parts:
-            return ""
-        return f"(?:{gap}(?:{body}))" + "?" * ("" in node)
-
-    body = "|".join(cls(x) + tail(trie[x]) for x in sorted(trie))
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"
+    def read(x: str, node: dict, first: bool) -> str:
+        """One letter and what may follow: words share their beginnings, so a place in the text is tried once for each first letter."""
+        own, alike = f"[{letters[x]}]", escape(marks.get(x, ""))
+        gap = "" if first else f"[^{every}]*+"
+        rest = "|".join(read(y, node[y], False) for y in sorted(node) if y)
+        out = []
+        if rest:
+            spelled = f"{gap}{own}+" + "+" * (x not in node)  # a doubled letter may take the rest of its run
+            if alike:
+                spelled = f"(?:{f'[^{every}{alike}]*+' if not first else ''}[{alike}]|{spelled})"
+            out.append(f"{spelled}(?:{rest})")
+        if "" in node:
+            out.append(f"{gap}{own}++{end}")
+            if alike:
+                out.append(f"{f'[^{every}]*?' if not first else ''}[{alike}]++{end}")
+        return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+    body = "|".join(read(x, trie[x], True) for x in sorted(trie))
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{body})"
 
 
 def decode(observed: str, log_p: np.ndarray) -> str:

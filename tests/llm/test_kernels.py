@@ -197,6 +197,25 @@ def test_pattern_covers_doubled_letters_apart(language, noisy, word):
     assert is_covered(noisy, word, language)
 
 
+@pytest.mark.parametrize("noisy", ["i    d    i    o    t", "i -- d -- i -- o -- t", "i\nd\ni\no\nt", "i\r\n\r\nd\r\n\r\ni\r\n\r\no\r\n\r\nt", "i2d2i2o2t", "i 2 d 2 i 2 o 2 t", f"i{'.' * 500}d{' ' * 500}i o t", "ịdịọt"])
+def test_pattern_covers_gaps_of_any_length(language, noisy):
+    assert is_covered(noisy, "idiot", language)
+
+
+def test_pattern_covers_whatever_decodes_to_a_word(language):
+    rng, hits = random.Random(2), 0
+    for _ in range(1500):
+        word, gap, noisy = rng.choice(["book", "little", "idiot"]), rng.choice(["", "", " ", "  ", "-", "\n", " -- ", "     ", "2", " 9 ", "! ", "."]), ""
+        for x in word:
+            x = rng.choice([x, x, x, *(m for m, read in toxicity.LEET.items() if x in read)])
+            noisy += x * rng.choice([1, 1, 1, 2]) + (gap if rng.random() < 0.9 else "")
+        noisy = noisy.strip(" -\n.!29")
+        if word in re.split("[^a-z]+", toxicity.decode(noisy, language)):
+            hits += 1
+            assert is_covered(noisy, word, language), noisy
+    assert hits > 500
+
+
 def test_order_minhash_depends_on_order_and_occurrence():
     words, edges = omh.words_of(pa.array(["a b c d e f g h", "a b c d e f g h", "e f g h a b c d", "a b c d e f g h a b c d e f g h", "x"]))
     s = omh.sketch(words, edges, k=1)
