@@ -13,10 +13,13 @@ import bisect
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import vocab
 from .common import checkpoint, documents
+from .eliasfano import VOCABULARY
 
 CAPACITY = 2048
 #: Ranks within a length are counted in this many slices of the documents.
@@ -147,6 +150,17 @@ def word_length(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(r"\S+")) + 1)
 
 
+def token_length(text: Column, vocabulary: str = VOCABULARY, folder: str = vocab.TOKENIZERS) -> Column:
+    """Ids that a text has in the vocabulary and one end-of-document token; a null text has none of either."""
+
+    @F.pandas_udf("long")
+    def length(texts: pd.Series) -> pd.Series:
+        enc = vocab.encoding(vocabulary, folder)
+        return pd.Series([0 if t is None else len(enc.encode_to_numpy(t, disallowed_special=())) + 1 for t in texts], dtype="int64")
+
+    return length.asNondeterministic()(text)  # else a filter on it encodes every text twice
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
     """Rows (bin_id, slot, start, doc_id, piece, n_tokens): which piece of which document lies where in which bin.
 
@@ -195,8 +209,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), length=token_length(F.col("text")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """In words, unlike the query: test_pipeline_stages holds the pipeline's pieces to them."""
     return pack(docs)

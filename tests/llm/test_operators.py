@@ -53,6 +53,23 @@ def test_packing(docs):
     assert sorted(out.bin_id.unique()) == list(range(out.bin_id.nunique()))
 
 
+def test_packing_query_counts_tokens(spark):
+    enc, expected = vocab.encoding(eliasfano.VOCABULARY), Counter()
+    for r in common.documents(spark, SF).collect():
+        n = 0 if r.text is None else len(enc.encode(r.text, disallowed_special=())) + 1
+        for i in range(0, n, packing.CAPACITY):
+            expected[(r.doc_id, i // packing.CAPACITY, min(packing.CAPACITY, n - i))] += 1
+    out = packing.query(spark, SF).toPandas()
+    assert Counter(zip(out.doc_id, out.piece, out.n_tokens)) == expected
+    assert out.groupby("bin_id").n_tokens.sum().max() <= packing.CAPACITY
+
+
+def test_packing_lengths_in_tokens(spark):
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, "日本語" * 50), (3, "<|endoftext|>")], "doc_id int, text string")
+    found = {r.doc_id: r.n for r in rows.select("doc_id", packing.token_length(F.col("text")).alias("n")).collect()}
+    assert found[0] == 0 and found[1] == 1 and found[2] > 50 and found[3] > 2
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty).count() == 0
 
