@@ -104,12 +104,15 @@ SCHEMA = T.StructType(
 
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, folder: str = vocab.TOKENIZERS, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """Rows of SCHEMA: document i of a segment has the ids [offset(i-1), offset(i)), offset(-1) being 0, little-endian uint16.
+    """Rows of SCHEMA: document i of a segment has the ids [offset(i-1), offset(i)), offset(-1) being 0, little-endian, two bytes
+    an id, or four for a vocabulary with ids above 65,535 (so len(ids) / n_tokens bytes).
 
     Documents stay in the order and partition in which they are read; nothing is shuffled. A null or empty text is a
     document without tokens (two equal offsets), a null id stays null, repeated rows are repeated documents, a document
     longer than segment_tokens is not cut. Without rows there are no segments. Other columns are not read.
     """
+    kind = vocab.id_type(vocabulary, folder)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -120,7 +123,7 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
         def close() -> pa.RecordBatch:
             ends = np.cumsum(np.array(lengths, np.int64))
             width, low, high, samples = encode_offsets(ends)
-            flat = np.concatenate(parts) if parts else np.empty(0, np.uint16)
+            flat = np.concatenate(parts) if parts else np.empty(0, kind)
             row = [[part], [number], [ids], [len(lengths)], [total], [width], [low], [high], [samples], [flat.tobytes()]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=SCHEMA.names)
@@ -128,7 +131,7 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
         for batch in it:
             for a, b in text_slices(batch.column(1)):
                 for key, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a)):
-                    tokens = enc.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(np.uint16)
+                    tokens = enc.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(kind)
                     ids.append(key)
                     parts.append(tokens)
                     lengths.append(len(tokens))
@@ -142,5 +145,23 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def documents_of(table: DataFrame) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids) of segments(): each document's place in its segment and its ids, in order of the segment.
+
+    A document without tokens has an empty array; without segments there are no rows.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for r in batch.to_pylist():
+                ends = decode_offsets(r["n_docs"], r["low_bits"], r["low"], r["high"])
+                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                flat = np.frombuffer(r["ids"], np.uint16 if len(r["ids"]) == 2 * r["n_tokens"] else np.uint32).astype(np.int32)
+                offsets = pa.array(np.append(starts, ends[-1]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts), pa.array(ends - starts), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "start", "n_tokens", "ids"])
+
+    return table.select("doc_ids", "n_docs", "n_tokens", "low_bits", "low", "high", "ids").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(documents(spark, sf_dir))

@@ -40,7 +40,7 @@ def measure(text: str, folder: str) -> tuple[int, float, float, float]:
     n = len(ids)
     if not n:
         return 0, 0.0, 0.0, 0.0
-    s = np.sort(ids.astype(np.uint16), kind="stable")  # radix sort: ids are below 2^16
+    s = np.sort(ids.astype(vocab.id_type(MULTI, folder)), kind="stable")  # a radix sort for two bytes
     runs = np.diff(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])))
     entropy = np.log2(n) - float(runs @ np.log2(runs)) / n
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -39,3 +39,8 @@ def covered_chars(name: str, folder: str = TOKENIZERS) -> np.ndarray:
             table[ord(piece)] = True
     table[ord(" ")] = True  # written as the piece for a space
     return table
+
+
+def id_type(name: str, folder: str = TOKENIZERS, *more: int) -> type[np.unsignedinteger]:
+    """The narrowest of uint16 and uint32 that holds every id of a vocabulary, and the numbers `more`."""
+    return np.uint16 if max(encoding(name, folder).max_token_value, *more, 0) < 1 << 16 else np.uint32
