@@ -12,6 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
     "op2_tokeniser_fertility": fertility.query,
     "op3_quotation_linking": quotation.query,
+    "quotation_linking_quoted": quotation.quoted_query,
+    "quotation_levels_quoted": quotation.links_query,
     "op4_multiprobe": ann.query,
     "op5_toxicity": toxicity.query,
     "op6_bpe": bpe.query,
@@ -21,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_super_kmers": superkmer.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quotation_linking": quotation.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quotation_linking": quotation.ORACLE_SQL, "quotation_linking_quoted": quotation.QUOTED_SQL, "quotation_levels_quoted": quotation.LINKS_SQL}

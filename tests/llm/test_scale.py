@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsel.llm import eliasfano, separator_scan, vocab
+from tabsel.llm import eliasfano, quotation, separator_scan, vocab
 
 
 def test_separator_scan_of_many_separators_in_one_block(spark, tmp_path):
@@ -47,3 +47,43 @@ def test_elias_fano_reader(spark):
     enc = vocab.encoding(eliasfano.VOCABULARY)
     assert sorted((r.doc_id is None, r.doc_id or 0, enc.decode(r.ids), r.n_tokens == len(r.ids)) for r in out) == [(False, 0, "a b c", True), (False, 2, "", True), (False, 3, "d" * 300, True), (False, 3, "d" * 300, True), (True, 0, "", True)]
     assert eliasfano.documents_of(eliasfano.segments(docs.limit(0))).count() == 0
+
+
+def test_quotes_of_all_levels_and_wrapped_anew(spark):
+    chat = [
+        (1, 0, "u", "The first line\nand the second\n\nanother paragraph"), (1, 1, "a", "> The first line and\n> the second\nwrapped anew"), (1, 2, "u", ">> another paragraph\nonly the second level"),
+        (1, 3, "a", "> wrapped anew\n>> The first line\n>> and the second\nboth"), (1, 4, "u", "> unknown\n>> wrapped anew\nouter level unknown"), (1, 5, "a", ">\n> \nempty quotes"),
+    ]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    messages = spark.createDataFrame(chat, schema)
+    out = {r.turn: r for r in quotation.link(messages).collect()}
+    assert [out[t].reply_to for t in range(6)] == [None, 0, 0, 1, 1, None]
+    assert [out[t].linked_lines for t in range(6)] == [0, 2, 1, 1, 1, 0] and [out[t].depth for t in range(6)] == [0, 1, 1, 2, 2, 0]
+    assert [out[t].position for t in range(6)] == [1, 2, 5, 3, 4, 6]
+    found = {(r.turn, r.quote_level): (r.source_turn, r.linked_lines) for r in quotation.links(messages).collect()}
+    assert found == {(1, 1): (0, 2), (2, 2): (0, 1), (3, 1): (1, 1), (3, 2): (0, 2), (4, 2): (1, 1)}
+    assert quotation.link(messages.limit(0)).count() == 0 and quotation.links(messages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("reply", [lambda i: i - 1, lambda i: 0, lambda i: i // 2])
+def test_long_threads(spark, reply):
+    n = 20_000
+    rows = [(7, i, "u", (f"> message number {reply(i)}\n" if i else "") + f"message number {i}") for i in range(n)]
+    messages = spark.createDataFrame(pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    started = time.monotonic()
+    out = quotation.link(messages).toPandas().sort_values("turn")
+    assert time.monotonic() - started < 20
+    assert (out.reply_to.to_numpy()[1:] == [reply(i) for i in range(1, n)]).all() and sorted(out.position) == list(range(1, n + 1))
+    depth = [0]
+    for i in range(1, n):
+        depth.append(depth[reply(i)] + 1)
+    assert out.depth.tolist() == depth
+    place = out.position.to_numpy()
+    assert all(place[i] > place[reply(i)] for i in range(1, n))
+
+
+def test_a_very_long_message(spark):
+    text = "\n".join(f"line {i} " + "x" * 50 for i in range(30_000))
+    rows = [(1, 0, "u", text), (1, 1, "a", "\n".join(f"> {x}" for x in text.split("\n")) + "\nyes")]
+    out = {r.turn: r for r in quotation.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert out[1].reply_to == 0 and out[1].linked_lines == 30_000 and out[1].text == "yes"
