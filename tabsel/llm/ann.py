@@ -3,11 +3,16 @@
 Each of TABLES tables hashes a vector to a bucket by HASHES Gaussian projections, shifted and cut into cells of WIDTH.
 A query visits in every table its own bucket and those reached by perturbing cells, in the order of the estimated
 success: the sum of the squared distances from its projections to the borders crossed. Queries meet a bucket's members
-at the bucket, where exact distances are computed by blocks; each pair of query and bucket sends on its K best alone,
+at the bucket, where exact distances are computed by blocks; a task sends on the K best of each of its queries alone,
 and the tables' candidates are merged and ranked by exact distance.
 
-The parameters fit any number of vectors as to recall. The work is vectors x members of a bucket x probes: for a corpus
-much larger than a bucket should hold, raise `hashes`, and `probes` with it.
+A bucket of many members or visitors is a grid of blocks of both, each cell of which is met on its own, so what a
+process holds doesn't follow the number of vectors.
+
+The parameters hold recall for any number of vectors. The work is vectors x members of a bucket x probes, and a bucket
+holds a fixed share of the vectors: for clustered vectors raise `hashes`, and `probes` with it. Where the tenth
+neighbour is hardly nearer than any other vector, no hashing helps: a projection to 16 dimensions still puts over a
+third of all vectors as near as nine tenths of the true neighbours are.
 """
 
 from __future__ import annotations
@@ -21,11 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import U64, checkpoint, mix
 
 K, TABLES, HASHES, WIDTH, PROBES = 10, 3, 4, 2.0, 16
 #: Cells of a distance block.
 BLOCK = 1 << 20
+#: Members and visitors of a bucket that meet in one place; a bucket with more of either is cut by the hash of the id.
+MEETING = 1 << 16
+#: Candidates that a task holds before it merges them, and sends them on where that frees less than half.
+HELD = 1 << 20
+#: So many large buckets are sent to all executors (24 bytes each); more are joined.
+LARGE = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -94,13 +105,95 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(dist)
 
 
-def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def best_of(q: np.ndarray, d: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k least distinct (distance, id) of each query, in order, and their ranks from 0."""
+    order = np.lexsort((n, d, q))
+    q, d, n = q[order], d[order], n[order]
+    if len(q):
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1])
+        q, d, n = q[new], d[new], n[new]
+    begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+    keep = rank < k
+    return q[keep], d[keep], n[keep], rank[keep]
+
+
+_PAIR = np.dtype([("d", "<f8"), ("n", "<i8")])
+
+
+def _packed(q: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(id, best): the (distance, id) pairs of each query as bytes; equal queries lie together."""
+    pairs = np.empty(len(q), _PAIR)
+    pairs["d"], pairs["n"] = d, n
+    begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+    offsets = (np.append(begin, len(q)) * _PAIR.itemsize).astype(np.int32)
+    best = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(q[begin]), best], names=["id", "best"])
+
+
+def _meet(it: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by cell, its members before its visitors."""
+    now, members, matrix, found, held = None, [], None, [], 0
+    for batch in it:
+        cell = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j", "side")], 1)
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(cell))):
+            part, side = batch.slice(a, b - a), cell[a, 3]
+            if now is None or (cell[a, :3] != now).any():
+                now, members, matrix = cell[a, :3], [], None
+            ids, x = part.column("id").to_numpy(), _matrix(part.column("v"), dim)
+            if side == 0:
+                members.append((ids, x))
+                continue
+            if not members:
+                continue
+            if matrix is None:
+                matrix = [np.concatenate(c) for c in zip(*members)]
+            row, near, dist = nearest(x, ids, matrix[1], matrix[0], k)
+            found.append((ids[row], dist, near))
+            held += len(row)
+            if held >= HELD:
+                merged = best_of(*(np.concatenate(c) for c in zip(*found)), k)[:3]
+                found, held = [merged], len(merged[0])
+                if held >= HELD // 2:
+                    yield _packed(*merged)
+                    found, held = [], 0
+    if found:
+        yield _packed(*best_of(*(np.concatenate(c) for c in zip(*found)), k)[:3])
+
+
+def _merge(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, rank, neighbour_id, distance) of rows (id, best), which come by id."""
+    rest: list[tuple[np.ndarray, ...]] = []
+
+    def out(q: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        q, d, n, rank = best_of(q, d, n, k)
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array((rank + 1).astype(np.int32)), pa.array(n), pa.array(np.sqrt(d))], names=["vec_id", "rank", "neighbour_id", "distance"])
+
+    for batch in it:
+        raw = batch.column("best").to_pylist()
+        pairs = np.frombuffer(b"".join(raw), _PAIR)
+        q = np.repeat(batch.column("id").to_numpy(), np.array([len(r) for r in raw]) // _PAIR.itemsize)
+        parts = [np.concatenate(c) for c in zip(*rest, (q, pairs["d"], pairs["n"]))]
+        if not len(parts[0]):
+            continue
+        whole = int(np.searchsorted(parts[0], parts[0][-1]))  # the last one may go on
+        if whole:
+            yield out(*(c[:whole] for c in parts))
+        rest = [tuple(c[whole:] for c in parts)]
+    if rest:
+        yield out(*rest[0])
+
+
+def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding", meeting: int = MEETING) -> DataFrame:
     """Rows (vec_id, rank, neighbour_id, distance): for each vector its k nearest others found, rank from 1, Euclidean distance.
 
     Every vector is a query. Left out are null ids, null or empty vectors, such with null or NaN elements, and those of
     another dimension than most have. Rows repeated with id and vector count once; an id with several
     vectors has the nearest to any of them, itself left out; a neighbour with several vectors may come several times. Ties go to the smaller id. Fewer than k rows come out where
-    the probed buckets hold fewer vectors. Other columns are not read.
+    the probed buckets hold fewer vectors; an empty table gives no rows. Ids must be whole numbers of 64 bits (other
+    ids raise). Other columns are not read.
     """
     v = F.col(vector_col).cast("array<float>")
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0").where(~F.exists("v", lambda e: e.isNull() | F.isnan(e)))
@@ -108,42 +201,42 @@ def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, hashes: int
     dim = most["d"] if most else 1
     clean = clean.where(F.size("v") == dim).dropDuplicates()
 
-    def spread(probing: bool):
+    def spread(with_vectors: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
                     x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(part.num_rows, dim)
                     cell, place = cells(x, tables, hashes, width)
-                    keys = (probes_of(cell, place, probes) if probing else bucket(cell)[..., None]).reshape(len(x), -1)
-                    each = keys.shape[1]
+                    keys = np.concatenate([bucket(cell)[..., None], probes_of(cell, place, probes)], 2)  # the own bucket as a member, and those visited
+                    each = keys[0].size
                     table = np.tile(np.repeat(np.arange(tables), each // tables), len(x))
-                    raw = pa.array([r.tobytes() for r in x], pa.binary())
-                    own = pa.array(np.repeat(np.arange(len(x)), each))
+                    side = np.tile(np.arange(each // tables) > 0, len(x) * tables).astype(np.int32)
                     bucket_key = mix(keys.ravel().view(U64) + table.astype(U64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket_key), part.column("id").take(own), raw.take(own)], names=["bucket", "id", "v"])
+                    own = pa.array(np.repeat(np.arange(len(x)), each))
+                    columns = [pa.array(bucket_key), pa.array(side), part.column("id").take(own)]
+                    if with_vectors:
+                        columns.append(pa.array([r.tobytes() for r in x], pa.binary()).take(own))
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "side", "id", "v"][: len(columns)])
 
         return run
 
-    schema = "bucket bigint, id bigint, v binary"
-    members, queries = clean.mapInArrow(spread(False), schema), clean.mapInArrow(spread(True), schema)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["id", "best"]
-        kind = pa.list_(pa.struct([("d", pa.float64()), ("n", pa.int64())]))
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], kind)], names=names)
-        q, q_ids = _matrix(left.column("v"), dim), left.column("id").to_numpy()
-        x, x_ids = _matrix(right.column("v"), dim), right.column("id").to_numpy()
-        row, ids, dist = nearest(q, q_ids, x, x_ids, k)
-        offsets = np.searchsorted(row, np.arange(len(q) + 1)).astype(np.int32)
-        best = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(dist), pa.array(ids)], names=["d", "n"]))
-        return pa.table([left.column("id").combine_chunks(), best], names=names)
-
-    met = queries.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(meet, "id bigint, best array<struct<d: double, n: bigint>>")
-    merged = met.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
-    out = merged.select("id", F.posexplode("best").alias("i", "b"))
-    return out.select(F.col("id").alias("vec_id"), (F.col("i") + 1).alias("rank"), F.col("b.n").alias("neighbour_id"), F.sqrt("b.d").alias("distance"))
+    schema = "bucket bigint, side int, id bigint"
+    both = clean.mapInArrow(spread(True), f"{schema}, v binary")
+    blocks = lambda c: F.ceil(F.col(c) / meeting).cast("int")
+    sizes = clean.mapInArrow(spread(False), schema).groupBy("bucket").agg(F.count_if(F.col("side") == 0).alias("m"), F.count_if(F.col("side") == 1).alias("q"))
+    large = checkpoint(sizes.where((F.col("m") > meeting) | (F.col("q") > meeting)).select("bucket", blocks("m").alias("m"), blocks("q").alias("q")))
+    if n := large.count():
+        both = both.join(F.broadcast(large) if n <= LARGE else large, "bucket", "left")
+        own = lambda c: F.pmod(F.xxhash64("id"), F.coalesce(c, F.lit(1))).cast("int")
+        all_of = lambda c: F.sequence(F.lit(0), F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) - 1)
+        member = F.col("side") == 0
+        both = both.where("m is null or m > 0").withColumn("i", F.explode(F.when(member, F.array(own("m"))).otherwise(all_of("m"))))
+        both = both.withColumn("j", F.explode(F.when(member, all_of("q")).otherwise(F.array(own("q"))))).select("bucket", "i", "j", "side", "id", "v")
+    else:
+        both = both.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "side", "id", "v")
+    met = both.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(lambda it: _meet(it, dim, k), "id bigint, best binary")
+    return met.repartition("id").sortWithinPartitions("id").mapInArrow(lambda it: _merge(it, k), "vec_id bigint, rank int, neighbour_id bigint, distance double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsel.llm import eliasfano, quotation, separator_scan, vocab
+from tabsel.llm import ann, eliasfano, quotation, separator_scan, vocab
 
 
 def test_separator_scan_of_many_separators_in_one_block(spark, tmp_path):
@@ -87,3 +87,41 @@ def test_a_very_long_message(spark):
     rows = [(1, 0, "u", text), (1, 1, "a", "\n".join(f"> {x}" for x in text.split("\n")) + "\nyes")]
     out = {r.turn: r for r in quotation.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
     assert out[1].reply_to == 0 and out[1].linked_lines == 30_000 and out[1].text == "yes"
+
+
+def test_neighbours_in_blocks_of_buckets(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").limit(400)
+    key = lambda out: sorted(map(tuple, out.collect()))
+    assert key(ann.neighbours(rows)) == key(ann.neighbours(rows, meeting=7))
+
+
+def test_neighbours_merge_in_several_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, ids = rng.standard_normal((300, 8)).astype(np.float32), np.arange(300)
+    import pyarrow as pa
+
+    def batch(bucket, side, at):
+        n = len(at)
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * n), pa.array([0] * n), pa.array([0] * n), pa.array([side] * n), pa.array(ids[at]), pa.array([r.tobytes() for r in x[at]], pa.binary())], names=["bucket", "i", "j", "side", "id", "v"])
+
+    monkeypatch.setattr(ann, "HELD", 200)
+    first, second = np.arange(0, 150), np.arange(150, 300)
+    met = pa.Table.from_batches(ann._meet(iter([batch(1, 0, first), batch(1, 1, ids[:90]), batch(1, 1, ids[90:]), batch(2, 0, second[:70]), batch(2, 0, second[70:]), batch(2, 1, ids), batch(3, 1, ids)]), 8, 4)).sort_by("id")
+    out = pa.Table.from_batches(ann._merge(iter(met.to_batches(max_chunksize=37)), 4)).to_pandas()
+    for i in ids:
+        d = ((x[i].astype(float) - x) ** 2).sum(1)
+        d[i] = np.inf
+        assert out[out.vec_id == i].sort_values("rank").neighbour_id.tolist() == np.argsort(d)[:4].tolist()
+
+
+def test_probes_are_the_likeliest_cells_in_order():
+    rng = np.random.default_rng(8)
+    cell, place = ann.cells(rng.standard_normal((20, 8)).astype(np.float32), 2, 3, 1.0)
+    found = ann.probes_of(cell, place, 10)
+    import itertools
+
+    for v in range(20):
+        for t in range(2):
+            cost = lambda step: sum(p**2 if s < 0 else (1 - p) ** 2 if s > 0 else 0 for s, p in zip(step, place[v, t]))
+            order = sorted(itertools.product((-1, 0, 1), repeat=3), key=cost)[:10]
+            assert [int(b) for b in found[v, t]] == [int(ann.bucket(cell[v, t] + np.array(s))) for s in order]
