@@ -1,8 +1,7 @@
 """Best-fit packing by exact-complement hashing.
 
 Sequences are packed into bins of `capacity` tokens. Only the histogram of lengths, at most `capacity` rows whatever
-the number of documents, reaches the driver. There single, pair and triple sums of the lengths that remain are looked
-up to fill a gap exactly, under availability counts; what has no exact complement goes best-fit into the open bins.
+the number of documents, reaches the driver. There single, pair and triple sums of the lengths that remain are indexed to fill a gap exactly, under availability counts; what has no exact complement goes best-fit into the open bins.
 The driver's plan is a list of patterns (lengths of one bin, number of such bins). Documents then take their places by
 their rank among the documents of their length, in two counted steps, so no length, however frequent, is one task.
 """
@@ -22,50 +21,72 @@ from .common import checkpoint, documents
 from .eliasfano import VOCABULARY
 
 CAPACITY = 2048
-#: Ranks within a length are counted in this many slices of the documents.
-SLICES = 64
+#: Ranks are counted in slices of the pieces, of about so many pieces of a length that is alone in the table.
+SLICE_ROWS = 250_000
 
 
 class _Sums:
-    """Lengths still available, and which of them add up to a sum. The pair index is filled sum by sum, when asked."""
+    """Lengths still available, and an index of the sums of one, two and three of them.
+
+    For each sum the index names the largest length of a pair, and of a triple, that add up to it, as they were when
+    it was last looked up; lengths only become fewer, so a sum without an entry never gets one again. An entry whose
+    lengths have run out is made anew when it is met.
+    """
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts
-        self.index: dict[int, np.ndarray] = {}
+        self.counts, n = counts, len(counts)
+        self.pairs, self.triples = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        there = np.flatnonzero(counts)
+        for x in there:  # rising, so that the largest stays
+            small = there[(there <= x) & (there < n - x)]
+            if len(small) and small[-1] == x and counts[x] < 2:
+                small = small[:-1]
+            self.pairs[x + small] = x
+        sums = np.flatnonzero(self.pairs)
+        for x in there:
+            # of three, x is the largest; whether the pair may take x again is asked when the sum is looked up
+            rest = sums[(sums < n - x) & (sums <= 2 * x)]
+            self.triples[x + rest] = x
 
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if 0 < gap < len(self.counts) and self.counts[gap] > 0 else None
 
-    def _pairs(self, gap: int) -> np.ndarray:
-        """Larger members of the pairs that add up to gap, largest first; those used up go when they are met."""
-        if gap not in self.index:
-            large = np.arange(min(gap - 1, len(self.counts) - 1), (gap - 1) // 2, -1)
-            self.index[gap] = large
-        large = self.index[gap]
+    def _best(self, gap: int, top: int) -> int:
+        """The larger length, `top` at most, of the pair for gap whose larger length is largest; 0 if there is none."""
+        large = np.arange(min(gap - 1, top, len(self.counts) - 1), (gap - 1) // 2, -1)
         small = gap - large
         live = (self.counts[large] > 0) & (self.counts[small] > 0) & ((large != small) | (self.counts[large] > 1))
-        self.index[gap] = large[live]
-        return self.index[gap]
+        at = int(live.argmax()) if len(live) else 0
+        return int(large[at]) if len(live) and live[at] else 0
 
     def pair(self, gap: int) -> tuple[int, ...] | None:
-        if gap < 2:
+        if gap < 2 or not self.pairs[gap]:
             return None
-        found = self._pairs(gap)
-        return (int(found[0]), gap - int(found[0])) if len(found) else None
+        x = int(self.pairs[gap])
+        if not (self.counts[x] > (2 * x == gap) and self.counts[gap - x] > 0):
+            self.pairs[gap] = x = self._best(gap, x)
+        return (x, gap - x) if x else None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        if gap < 3:
+        """The triple whose largest length is largest, then whose second is."""
+        if gap < 3 or not self.triples[gap]:
             return None
-        top = min(gap - 2, len(self.counts) - 1)
-        for first in np.flatnonzero(self.counts[: top + 1])[::-1]:
-            first = int(first)
-            if 3 * first < gap:
-                return None  # the largest of three is at least a third
-            self.counts[first] -= 1
-            rest = self.pair(gap - first)
-            self.counts[first] += 1
+        first = np.arange(int(self.triples[gap]), (gap - 1) // 3, -1)
+        for x in first[(self.counts[first] > 0) & (self.pairs[gap - first] > 0)].tolist():
+            rest = self.pair(gap - x)
+            if not rest:
+                continue
+            # a pair with a length above x would have been met with that length as first; only x itself may be short
+            need = 1 + (rest[0] == x) + (rest[1] == x)
+            if rest[0] > x or self.counts[x] < need:
+                self.counts[x] -= 1
+                y = self._best(gap - x, x)
+                self.counts[x] += 1
+                rest = (y, gap - x - y) if y else None
             if rest:
-                return (first, *rest)
+                self.triples[gap] = x
+                return (x, *rest)
+        self.triples[gap] = 0
         return None
 
 
@@ -167,7 +188,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     length: tokens of a document (default: words and an end mark). A document longer than the capacity is cut into
     full pieces and a rest. Documents of length 0 or null take no place (a null text; an empty text has its end mark).
     A null id is a document like any other; repeated rows are packed as often as they occur; ties in length are taken
-    in the order of (slice by hash, id, piece). Other columns of docs are not read.
+    in the order of (slice by hash, id, piece). An empty table gives no rows. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     n = F.coalesce((word_length(F.col(text_col)) if length is None else length).cast("long"), F.lit(0))
@@ -175,9 +196,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     pieces = lengths.select(
         "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int")), lambda i: F.least(F.lit(capacity), F.col("n") - i * capacity).cast("int"))).alias("piece", "n_tokens")
     )
-    pieces = checkpoint(pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int")))
+    pieces = checkpoint(pieces)
+    slices = pieces.count() // SLICE_ROWS + 1
+    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
     sliced = pieces.groupBy("n_tokens", "slice").agg(F.count("*").alias("c"))
-    sliced = checkpoint(sliced)  # at most capacity x SLICES rows
+    sliced = checkpoint(sliced)  # at most capacity x slices rows
     histogram = {int(r["n_tokens"]): int(r["c"]) for r in sliced.groupBy("n_tokens").agg(F.sum("c").alias("c")).toLocalIterator()}
     places, bins, used = [], 0, defaultdict(int)
     for pattern, times in plan_bins(histogram, capacity):

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsel.llm import ann, eliasfano, quotation, separator_scan, vocab
+from tabsel.llm import ann, eliasfano, packing, quotation, separator_scan, vocab
 
 
 def test_separator_scan_of_many_separators_in_one_block(spark, tmp_path):
@@ -125,3 +125,74 @@ def test_probes_are_the_likeliest_cells_in_order():
             cost = lambda step: sum(p**2 if s < 0 else (1 - p) ** 2 if s > 0 else 0 for s, p in zip(step, place[v, t]))
             order = sorted(itertools.product((-1, 0, 1), repeat=3), key=cost)[:10]
             assert [int(b) for b in found[v, t]] == [int(ann.bucket(cell[v, t] + np.array(s))) for s in order]
+
+
+def naive_plan(histogram, capacity):
+    """Exact complements by trying all combinations in the order of their lengths, then best fit, one sequence at a time."""
+    from itertools import combinations_with_replacement
+
+    left, bins, residual = dict(histogram), [], []
+    for length in range(capacity, 0, -1):
+        while left.get(length):
+            left[length] -= 1
+            gap, found = capacity - length, ()
+            for size in (0, 1, 2, 3):
+                options = [c for c in combinations_with_replacement(sorted((x for x, n in left.items() if n), reverse=True), size) if sum(c) == gap and all(left[x] >= c.count(x) for x in c)]
+                if options and (gap or not size):
+                    found = max(options)
+                    break
+            else:
+                left[length] += 1
+                residual += [length] * left[length]
+                left[length] = 0
+                break
+            for x in found:
+                left[x] -= 1
+            bins.append((length, *found))
+    space = []
+    for x in residual:
+        fits = [i for i, b in enumerate(space) if capacity - sum(b) >= x]
+        if fits:
+            i = min(fits, key=lambda i: (capacity - sum(space[i]), i))
+            space[i] = (*space[i], x)
+        else:
+            space.append((x,))
+    return bins, space
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_packing_plan_equals_the_naive_one(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(8, 33))
+    lengths = rng.integers(1, capacity + 1, rng.integers(0, 40))
+    histogram = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+    bins, space = naive_plan(histogram, capacity)
+    plan = [(p, n) for p, n in packing.plan_bins(histogram, capacity)]
+    exact = sorted(tuple(sorted(p)) for p, n in plan for _ in range(n) if sum(p) == capacity)
+    assert sorted(tuple(sorted(b)) for b in [*bins, *(s for s in space if sum(s) == capacity)]) == exact
+    assert sum(n for _, n in plan) == len(bins) + len(space)
+
+
+@pytest.mark.parametrize("capacity", [2048, 32_768])
+def test_packing_plans_large_capacities_in_seconds(capacity):
+    rng = np.random.default_rng(capacity)
+    lengths, n = np.unique(np.minimum(rng.lognormal(np.log(capacity / 8), 1.2, 400_000).astype(int) + 1, capacity), return_counts=True)
+    started = time.monotonic()
+    plan = packing.plan_bins(dict(zip(lengths.tolist(), n.tolist())), capacity)
+    took = time.monotonic() - started
+    used = np.zeros(capacity + 1, int)
+    for pattern, times in plan:
+        assert sum(pattern) <= capacity
+        np.add.at(used, list(pattern), times)
+    assert (used[lengths] == n).all() and used.sum() == n.sum() and took < 60
+
+
+def test_packing_in_several_slices(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_ROWS", 40)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 90).cast("int")).alias("text"))
+    out = packing.pack(docs, 64).toPandas()
+    expected = sorted((i, p, min(64, i % 90 + 1 - 64 * p)) for i in range(300) for p in range(-(-(i % 90 + 1) // 64)))
+    assert sorted(zip(out.doc_id, out.piece, out.n_tokens)) == expected
+    ordered = out.sort_values(["bin_id", "slot"])
+    assert (ordered.start == ordered.groupby("bin_id").n_tokens.cumsum() - ordered.n_tokens).all() and out.groupby("bin_id").n_tokens.sum().max() <= 64
+    assert not out.duplicated(["bin_id", "slot"]).any() and sorted(out.bin_id.unique()) == list(range(out.bin_id.nunique()))
