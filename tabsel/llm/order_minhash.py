@@ -12,6 +12,7 @@ groups are those that comparing all pairs would give.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import U64, batches, checkpoint, content_key, documents, flat_bytes
 K, LABELS, HASHES, SIMILARITY = 3, 2, 32, 0.75
 #: Word classes of a profile.
 PROFILE = 256
+#: Texts of a bucket that are compared in one place; more are a grid of such blocks.
+BLOCK = 4096
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -148,48 +151,67 @@ def hopeful(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
-def across(members: DataFrame, similarity: float) -> DataFrame:
+def across(members: DataFrame, words: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """The hopeful pairs (a, b) of each bucket whose keys have different roots and aren't the lead.
 
-    members: (bucket, key, lead, root, size, profile). The pairs are made where a bucket's rows lie together, by blocks
-    of profiles; only those that pass leave it.
+    members: (bucket, key, lead, root). Texts near each other have sizes of one class or of neighbouring ones (a class
+    ends where its smallest size becomes too small), so a bucket falls into cells of two classes each, and a cell of
+    many texts into a grid of blocks. Each part of the grid is compared where its rows lie together; only pairs that
+    pass leave it. However many texts share a bucket, a process holds two blocks.
     """
-    spread = members.repartition("bucket").sortWithinPartitions("bucket", "size", "key")
-    names = ["bucket", "key", "lead", "root", "size", "profile"]
-
-    def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, root, size = (table.column(c).to_numpy() for c in ("key", "root", "size"))
-        rest = key != table.column("lead").to_numpy()
-        key, root, size, profile = key[rest], root[rest], size[rest], _matrix(table.column("profile"))[rest]
+    width = max(-math.log(similarity), 1e-6) * (1 + 1e-9)
+    level = F.floor(F.log("size") / width)
+    # a text is in the cell of its own class (up), and in that of the class above
+    sizes = words.select("key", "size")
+    both = members.where("key <> lead").join(sizes, "key").select("bucket", "key", "root", F.inline(F.array(F.struct(level.alias("cell"), F.lit(True).alias("up")), F.struct((level + 1).alias("cell"), F.lit(False).alias("up")))))
+    counts = both.groupBy("bucket", "cell").agg(F.count("*").alias("c"), F.count_if("up").alias("u"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("u > 0 and lo < hi")
+    placed = both.join(counts.select("bucket", "cell", F.ceil(F.col("c") / block).cast("int").alias("blocks")), ["bucket", "cell"])
+    own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
+    placed = placed.select("bucket", "cell", "key", "root", "up", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("bucket", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "up")
+    full = placed.join(words.select("key", "size", "profile"), "key")
+    spread = full.repartition("bucket", "cell", "i", "j").sortWithinPartitions("bucket", "cell", "i", "j", "size", "key")
+
+    def pairs_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        key, root, size, own = (table.column(c).to_numpy() for c in ("key", "root", "size", "own"))
+        up, profile = table.column("up").combine_chunks().to_numpy(zero_copy_only=False), _matrix(table.column("profile"))
+        coarse = profile.reshape(len(key), PROFILE // 16, 16).sum(2)  # fewer classes rule out most of what more would
+        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         least = np.ceil(similarity * size - 1e-9)  # rows are sorted by size: partners of a row lie before it
         for i in range(len(key)):
             lo = int(np.searchsorted(size, least[i]))
-            at = np.arange(lo, i)
-            at = at[root[lo:i] != root[i]]
+            wanted = root[lo:i] != root[i]
+            if not up[i]:
+                wanted &= up[lo:i]
+            if cross:
+                wanted &= own[lo:i] != own[i]
+            at = np.flatnonzero(wanted) + lo
             for x in range(0, len(at), 4096):
-                own = at[x : x + 4096]
-                own = own[possible(profile[own], profile[i], allowed(size[own], size[i], similarity))]
-                if len(own):
-                    a, b = np.minimum(key[own], key[i]), np.maximum(key[own], key[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                near = at[x : x + 4096]
+                for p in (coarse, profile):
+                    near = near[possible(p[near], p[i], allowed(size[near], size[i], similarity))]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[near], key[i])), pa.array(np.maximum(key[near], key[i]))], names=["a", "b"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        now = None
         for batch in it:
-            bucket = batch.column("bucket").to_numpy()
-            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            if held and bucket[0] != held[-1].column("bucket")[0].as_py():
-                yield from pairs_of(pa.Table.from_batches(held))
-                held = []
-            for a, b in zip(np.append(0, cuts), np.append(cuts, len(bucket))):
-                if a:
-                    yield from pairs_of(pa.Table.from_batches(held))
+            part = np.stack([batch.column(c).to_numpy() for c in ("bucket", "cell", "i", "j")], 1)
+            cuts = np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(part))):
+                if a == b:
+                    continue
+                if held and (part[a] != now).any():
+                    yield from pairs_of(held)
                     held = []
+                now = part[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from pairs_of(pa.Table.from_batches(held))
+            yield from pairs_of(held)
 
-    return spread.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
+    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -241,7 +263,7 @@ def rooted(keys: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     return keys.join(roots.withColumnRenamed("key", key), key, "left").withColumn("root", F.coalesce("root", key))
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(key, n_bytes, first_id, group_id, root, n, n_first): each distinct text, the smallest id of its rows and of its group.
 
     key and n_bytes are content_key and size of the text; root names the group. n counts the rows with that text,
@@ -269,8 +291,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, hashes:
     rest = rooted(shared, roots, "key")
     same_set = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"x{i}") for i in (1, 2)]
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), *same_set).where("lo < hi and c > 2")
-    rest = rest.join(mixed.dropDuplicates(["c", "x1", "x2"]).select("bucket"), "bucket").join(words.select("key", "size", "profile"), "key")
-    more = checkpoint(verified(across(rest, similarity), words, similarity))
+    rest = rest.join(mixed.dropDuplicates(["c", "x1", "x2"]).select("bucket"), "bucket")
+    more = checkpoint(verified(across(rest, words, similarity, block), words, similarity))
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     out = rooted(texts.select("key", "n_bytes", "first_id", "n", "n_first"), roots, "key")
@@ -283,7 +305,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     Equal texts are one group, also empty texts; texts without words join no other group. A null text is in no group:
     its group_id is its own id. keep is true for rows with the group's smallest id, for repeated such rows (equal id)
     for all of them here; keep_one() keeps one. A null id counts as larger than any other; a group of null ids alone has a
-    null group_id, and its rows are kept. Other columns are not read.
+    null group_id, and its rows are kept. An empty table gives no rows; a long text is taken whole. Ids must be whole
+    numbers of 64 bits (other ids raise). Other columns are not read.
     """
     found = groups(docs, similarity, k, hashes, id_col, text_col)
     rows = docs.select(content_key(F.col(text_col)).alias("key"), F.octet_length(text_col).cast("long").alias("n_bytes"), F.col(id_col).cast("long").alias("doc_id"))

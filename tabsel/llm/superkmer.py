@@ -6,7 +6,9 @@ instead of a string for each window. There the windows are sorted, equal ones co
 all but the first occurrence of a window are marked.
 
 A minimiser that occurs once in the corpus has no repeated windows, so only places are sent around first; strings are
-packed for the super-k-mers whose minimiser occurs again.
+packed for the super-k-mers whose minimiser occurs again. A bucket of more than HOT super-k-mers (a licence in every
+file, say) is not one sort: each of its windows goes by the 128-bit hash of its bytes, the first place of each is an
+aggregate that combines before it travels, and the windows are joined to these places.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import U64, _powers, batches, checkpoint, content_key, documents, f
 WINDOW, MINIMISER = 50, 8
 #: Whole buckets of about this many bytes are sorted together.
 SORT_BYTES = 1 << 20
+#: A minimiser's super-k-mers are sorted as strings up to so many; beyond, their windows go by hash.
+HOT = 20_000
 #: A minimiser is the least of (34 bits of a hash, place in 30 bits): equal hashes go to the leftmost, alike in equal windows.
 _PLACE = U64((1 << 30) - 1)
 
@@ -70,33 +74,42 @@ def places(table: DataFrame, window: int, m: int) -> DataFrame:
     return table.select("key", "doc_id", "text").mapInArrow(run, "mh bigint, key bigint, doc_id bigint, start int, n int")
 
 
+def _spaced(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts with one space between words; where their bytes have moved; starts and ends of the words before, edges of the texts."""
+    flat, offs = flat_bytes(texts)
+    sep = separators(False)
+    starts, ends, edges = word_bounds(flat, offs, sep)
+    inside = ~sep[flat]
+    # one separator after each word stays; a text's last word may have none
+    gap = np.zeros(len(flat), bool)
+    tail = ends[(ends < len(flat))]
+    gap[tail[sep[flat[tail]]]] = True
+    keep = inside | gap
+    return np.where(inside, flat, 32)[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)]), starts, ends, edges
+
+
+def _parts(batch: pa.RecordBatch, edges: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each super-k-mer of a batch: its row, minimiser, first window in the text and number of windows, and its first word."""
+    parts = batch.column("parts")
+    at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    values = parts.flatten()
+    mh, start, n = (values.field(c) for c in ("mh", "start", "n"))
+    text = np.repeat(np.arange(batch.num_rows), np.diff(at))
+    s, k = start.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
+    return text, mh, s, k, edges[text] + s
+
+
 def packed(rows: DataFrame, window: int) -> DataFrame:
     """(mh, key, doc_id, start, n, words): strings, one space between words, of the super-k-mers (array parts) of each row's text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["mh", "key", "doc_id", "start", "n", "words"]
         for batch in batches(it, "text"):
-            flat, offs = flat_bytes(batch.column("text"))
-            sep = separators(False)
-            starts, ends, edges = word_bounds(flat, offs, sep)
-            inside = ~sep[flat]
-            # one separator after each word stays; a text's last word may have none
-            gap = np.zeros(len(flat), bool)
-            tail = ends[(ends < len(flat))]
-            gap[tail[sep[flat[tail]]]] = True
-            keep = inside | gap
-            clean = np.where(inside, flat, 32)[keep].tobytes()
-            moved = np.concatenate([[0], np.cumsum(keep)])
-            parts = batch.column("parts")
-            at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-            values = parts.flatten()
-            mh, start, n = (values.field(c) for c in ("mh", "start", "n"))
-            text = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            s, k = start.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
-            first = edges[text] + s
+            clean, moved, starts, ends, edges = _spaced(batch.column("text"))
+            text, mh, s, k, first = _parts(batch, edges)
             a, b = moved[starts[first]], moved[ends[first + k + window - 2]]
             strings = pa.array([clean[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
-            rows_at = pa.array(text)
+            rows_at, start, n = pa.array(text), pa.array(s.astype(np.int32)), pa.array(k.astype(np.int32))
             for x in range(0, len(text), 20_000):
                 y = slice(x, x + 20_000)
                 yield pa.RecordBatch.from_arrays([mh[y], batch.column("key").take(rows_at[y]), batch.column("doc_id").take(rows_at[y]), start[y], n[y], strings[y]], names=names)
@@ -104,6 +117,34 @@ def packed(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("key", "doc_id", "text", "parts").mapInArrow(run, "mh bigint, key bigint, doc_id bigint, start int, n int, words binary")
 
 
+def windows(rows: DataFrame, window: int) -> DataFrame:
+    """(w0, w1, key, doc_id, start): each window of the super-k-mers (array parts) of each row's text, by a 128-bit hash of its bytes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches(it, "text"):
+            clean, moved, starts, ends, edges = _spaced(batch.column("text"))
+            text, _, s, k, first = _parts(batch, edges)
+            word, place, row = ragged(first, k), ragged(s, k).astype(np.int32), np.repeat(text, k)
+            for x in range(0, len(word), 20_000):
+                w = word[x : x + 20_000]
+                a, b = moved[starts[w]].tolist(), moved[ends[w + window - 1]].tolist()
+                h = np.frombuffer(b"".join(xxh3_128_digest(clean[i:j]) for i, j in zip(a, b)), np.int64).reshape(-1, 2)
+                at = pa.array(row[x : x + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), batch.column("key").take(at), batch.column("doc_id").take(at), pa.array(place[x : x + 20_000])], names=["w0", "w1", "key", "doc_id", "start"])
+
+    return rows.select("key", "doc_id", "text", "parts").mapInArrow(run, "w0 bigint, w1 bigint, key bigint, doc_id bigint, start int")
+
+
+def marked_hot(spread: DataFrame) -> DataFrame:
+    """(key, doc_id, start, n, first_id) of windows(): those that occurred before, one by one, as marked() has them in runs."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
+    firsts = spread.groupBy("w0", "w1").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    both = spread.join(firsts, ["w0", "w1"]).where(~place.eqNullSafe(F.col("first")))
+    return both.select("key", "doc_id", "start", F.lit(1).alias("n"), F.col("first.doc_id").alias("first_id"))
+
+
 def _once(table: pa.Table) -> pa.Table:
     """The table without rows that equal the one before in bucket, text, id and place."""
     n = table.num_rows
@@ -219,20 +260,27 @@ def marked(strings: DataFrame, window: int) -> DataFrame:
     return spread.mapInArrow(run, "key bigint, doc_id bigint, start int, n int, first_id bigint")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(key, doc_id, spans): for each document with such words, its sorted spans (start, n, first_id) of words seen before.
 
     A document is a text with an id; repeated rows are one document. The order is that of the ids, null last, then of
-    the text's key, then of the words.
+    the text's key, then of the words. The spans don't depend on `hot`.
     """
     table = docs.select(content_key(F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     spots = places(table, window, m)
-    again = spots.withColumn("c", F.count("*").over(Window.partitionBy("mh"))).where("c > 1").drop("c")
-    parts = again.groupBy("key", "doc_id").agg(F.collect_set(F.struct("mh", "start", "n")).alias("parts"))
-    parts = parts.select(F.col("key").alias("pk"), F.col("doc_id").alias("pd"), "parts")
-    same = (table["key"] == parts["pk"]) & table["doc_id"].eqNullSafe(parts["pd"])
-    strings = packed(table.join(parts.hint("shuffle_hash"), same), window)
-    runs = checkpoint(marked(strings, window))
+    again = spots.withColumn("c", F.count("*").over(Window.partitionBy("mh"))).where("c > 1")
+    parts = again.groupBy("key", "doc_id").agg(F.collect_set(F.struct("mh", "start", "n", (F.col("c") > hot).alias("hot"))).alias("parts"))
+    parts = checkpoint(parts.select(F.col("key").alias("pk"), F.col("doc_id").alias("pd"), "parts"))
+
+    def of(chosen) -> DataFrame:
+        """The texts that have such super-k-mers, and these."""
+        some = parts.withColumn("parts", F.filter("parts", chosen)).where(F.size("parts") > 0)
+        return table.join(some.hint("shuffle_hash"), (table["key"] == some["pk"]) & table["doc_id"].eqNullSafe(some["pd"]))
+
+    runs = marked(packed(of(lambda p: ~p["hot"]), window), window)
+    if not parts.where(F.exists("parts", lambda p: p["hot"])).isEmpty():
+        runs = runs.unionByName(marked_hot(windows(of(lambda p: p["hot"]), window)))
+    runs = checkpoint(runs)
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -253,22 +301,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, id
     return grouped.mapInArrow(merge, "key bigint, doc_id bigint, spans array<struct<start: int, n: int, first_id: bigint>>")
 
 
-def substring_duplicates(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_duplicates(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (doc_id, start_word, n_words, first_doc_id): each longest stretch of words, all of whose windows occur before it.
 
     Words are parted by ASCII white space and compared byte by byte. Texts of fewer than `window` words and null texts
     have no windows; a document may repeat itself (first_doc_id is its own id); repeated rows are one document and give
-    each stretch once; null ids come last. Other columns are not read.
+    each stretch once; null ids come last. An empty table gives no rows; a long text is taken whole. Ids must be whole
+    numbers of 64 bits (other ids raise). Other columns are not read.
     """
-    spans = repeated_spans(docs, window, m, id_col, text_col)
+    spans = repeated_spans(docs, window, m, id_col, text_col, hot)
     return spans.select("doc_id", F.inline("spans")).select("doc_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("first_id").alias("first_doc_id"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the words of substring_duplicates() taken out of their texts, together with the white space after them.
 
-    All rows stay, a text may become empty; a column n_chars holding the length of the text follows it. Columns as they
-    were.
+    All rows stay, null texts and repeated rows as well, a text may become empty; a column n_chars holding the length of
+    the text follows it. Columns as they were; an empty table stays empty.
     """
     spans = checkpoint(repeated_spans(docs, window, m, id_col, text_col))
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))

@@ -7,7 +7,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsel.llm import ann, eliasfano, packing, quotation, separator_scan, vocab
+from tabsel.llm import ann, eliasfano, packing, quotation, separator_scan, superkmer, vocab
+from tabsel.llm import order_minhash as omh
+
+
+def prose(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdeilnorstu"), rng.integers(2, 8))) for _ in range(n))
 
 
 def test_separator_scan_of_many_separators_in_one_block(spark, tmp_path):
@@ -196,3 +202,78 @@ def test_packing_in_several_slices(spark, monkeypatch):
     ordered = out.sort_values(["bin_id", "slot"])
     assert (ordered.start == ordered.groupby("bin_id").n_tokens.cumsum() - ordered.n_tokens).all() and out.groupby("bin_id").n_tokens.sum().max() <= 64
     assert not out.duplicated(["bin_id", "slot"]).any() and sorted(out.bin_id.unique()) == list(range(out.bin_id.nunique()))
+
+
+def crowd(spark, n, words=30):
+    """n texts of a few own words around one passage, and some near copies among them."""
+    passage = prose(4242, 100)
+    rows = [(i, f"{prose(10_000 + i, words)} {passage} {prose(50_000 + i, words // 2)}") for i in range(n)]
+    rows += [(n + i, rows[7 * i][1].replace(" ", "  ", 1).rsplit(" ", 1)[0] + " other") for i in range(n // 20)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"]))
+
+
+def test_hot_minimisers_give_the_same_spans(spark):
+    docs = crowd(spark, 200).unionByName(spark.createDataFrame([(None, prose(4242, 100)), (3, None), (5, "")], "doc_id bigint, text string"))
+    docs = docs.unionByName(docs.where("doc_id in (5, 9)"))
+    key = lambda hot: sorted(map(str, superkmer.substring_duplicates(docs, hot=hot).collect()))
+    assert key(superkmer.HOT) == key(1) == key(20)
+
+
+def test_one_passage_in_many_documents(spark):
+    """As many buckets' rows as HOT allows and more, each window of the passage in all documents."""
+    n = 25_000
+    passage = prose(4242, 60)
+    docs = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.concat_ws(" ", *(F.md5(F.concat_ws(":", "id", F.lit(i))) for i in range(6))), F.lit(f" {passage} "), F.concat_ws(" ", *(F.md5(F.concat_ws("-", "id", F.lit(i))) for i in range(6)))).alias("text"))
+    out = superkmer.substring_duplicates(docs)
+    found = out.agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.min("start_word").alias("s"), F.max("start_word").alias("t"), F.min("n_words").alias("n"), F.max("n_words").alias("m"), F.max("first_doc_id").alias("f")).first()
+    assert tuple(found) == (n - 1, 1, 6, 6, 60, 60, 0)
+
+
+def test_spans_on_the_fixture_word_by_word(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    from test_operators import brute_spans
+
+    expected = brute_spans(docs.collect())
+    got = {k: np.zeros(len(g), int) for k, (_, g) in expected.items()}
+    for r in superkmer.substring_duplicates(docs).collect():
+        got[r.doc_id][r.start_word : r.start_word + r.n_words] = 1
+    assert all((got[k] == g).all() for k, (_, g) in expected.items())
+
+
+def test_near_duplicates_in_blocks_of_buckets(spark):
+    docs = crowd(spark, 300, 60)
+    key = lambda block: sorted((r.first_id, r.group_id) for r in omh.groups(docs, block=block).collect())
+    found = key(omh.BLOCK)
+    assert found == key(9) and sum(a != b for a, b in found) == 15
+
+
+def test_sketch_by_the_definition():
+    """The LABELS least occurrence-labelled k-mers under each hash, in the order of the text, hashed together."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (1, 2, 3, 4, 9, 40, 41)]
+    words, edges = omh.words_of(pa.array(texts))
+    found = omh.sketch(words, edges, hashes=6)
+    u = lambda x: np.array([x], np.uint64)
+    seeds = np.random.default_rng(20240607).integers(1, 1 << 63, size=(6, 2), dtype=np.uint64)
+    for t, (a, b) in enumerate(zip(edges, edges[1:])):
+        own, kmers, seen = words[a:b], [], {}
+        for i in range(max(len(own) - omh.K + 1, 1)):
+            g = u(0)
+            for j, w in enumerate(own[i : i + omh.K]):
+                g = omh.mix(g + u(w) + u(j + 1))
+            nth = seen.get(int(g[0]), 0)
+            seen[int(g[0])] = nth + 1
+            kmers.append((g, omh.mix(g + u(nth) * u(0x9E3779B97F4A7C15))))
+        for h in range(6):
+            ranked = []
+            for i, (_, x) in enumerate(kmers):
+                y = (x ^ u(seeds[h, 0])) * u(seeds[h, 1] | np.uint64(1))
+                ranked.append((int((y ^ (y >> u(32)))[0]), i))
+            value = u(h + 1)
+            for i in sorted(i for _, i in sorted(ranked)[: omh.LABELS]):
+                value = omh.mix(value * u(31) + kmers[i][0])
+            assert found[t, h] == value.view(np.int64)[0]
