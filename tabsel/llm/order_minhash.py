@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from . import alignment
 from .common import U64, batches, checkpoint, content_key, documents, flat_bytes, fresh, mix, separators, span_hashes, word_bounds
 
-K, LABELS, HASHES, SIMILARITY = 3, 2, 32, 0.75
+K, LABELS, HASHES, SIMILARITY = 2, 2, 32, 0.75
+#: Texts of fewer words are found by k-mers one word shorter. Those that may be near such a text and near a longer one have both sketches.
+SHORT = 32
 #: Word classes of a profile.
 PROFILE = 256
 #: Texts of a bucket that are compared in one place; more are a grid of such blocks.
@@ -84,22 +86,34 @@ def sketch(words: np.ndarray, edges: np.ndarray, k: int = K, hashes: int = HASHE
     return out
 
 
-def sketches(docs: DataFrame, text: str, k: int = K, hashes: int = HASHES) -> DataFrame:
-    """(key, doc_id, n_bytes, n_words, sketch) of a table (key, doc_id, text); the sketch of a text without words is null."""
+def sketches(docs: DataFrame, text: str, similarity: float = SIMILARITY, k: int = K, hashes: int = HASHES) -> DataFrame:
+    """(key, doc_id, n_bytes, n_words, sketch) of a table (key, doc_id, text); the sketch of a text without words is null.
+
+    k-mers suit texts of SHORT words and more, k-mers one word shorter those that a text of fewer words can be near to.
+    Two texts near each other are both of one kind at least.
+    """
+    top = int(SHORT / similarity)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, text):
             column = batch.column(text)
             words, edges = words_of(column)
             n = np.diff(edges)
-            full = np.flatnonzero(n)
-            out = np.zeros((len(n), hashes), np.int64)
-            if len(full):
-                out[full] = sketch(words, np.append(edges[:-1][full], edges[-1]), k, hashes)
+            values, owner = [], []
+            for chosen, size in ((n >= SHORT, k), ((n > 0) & (n <= top), max(1, k - 1))):
+                at = np.flatnonzero(chosen)
+                if len(at):
+                    own = np.repeat(chosen, n)
+                    found = sketch(words[own], np.concatenate([[0], np.cumsum(n[at])]), size, hashes)
+                    values.append(mix(found.view(U64) ^ U64(size)).view(np.int64).ravel())
+                    owner.append(np.repeat(at, hashes))
+            owner, values = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (owner, values))
+            order = np.argsort(owner, kind="stable")
             null = np.append(n == 0, False)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * hashes, mask=null if null.any() else None), pa.array(out.ravel()))
-            size = np.diff(flat_bytes(column)[1])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(size), pa.array(n.astype(np.int32)), lists], names=["key", "doc_id", "n_bytes", "n_words", "sketch"])
+            offsets = np.searchsorted(owner[order], np.arange(len(n) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=null if null.any() else None), pa.array(values[order]))
+            bytes_ = np.diff(flat_bytes(column)[1])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(bytes_), pa.array(n.astype(np.int32)), lists], names=["key", "doc_id", "n_bytes", "n_words", "sketch"])
 
     return docs.select("key", "doc_id", text).mapInArrow(run, "key bigint, doc_id bigint, n_bytes bigint, n_words int, sketch array<bigint>")
 
@@ -270,12 +284,12 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, hashes:
     n_first those of them with first_id.
     """
     table = docs.select(content_key(F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = sketches(table, "text", k, hashes)
+    rows = sketches(table, "text", similarity, k, hashes)
     # both steps on one shuffle: rows of a text with the same id, then the text
     same = rows.repartition("key", "n_bytes").groupBy("key", "n_bytes", "doc_id").agg(F.first("sketch").alias("sketch"), F.count("*").alias("c"))
     first = F.coalesce(F.min_by("c", "doc_id"), F.max("c")).alias("n_first")
     texts = checkpoint(same.groupBy("key", "n_bytes").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.sum("c").alias("n"), first))
-    entries = texts.where("sketch is not null").select("key", F.posexplode("sketch").alias("j", "v")).select(F.xxhash64("j", "v").alias("bucket"), "key").distinct()
+    entries = texts.where("sketch is not null").select("key", F.explode("sketch").alias("bucket")).select("bucket", "key").distinct()
     window = Window.partitionBy("bucket")
     shared = entries.withColumn("lead", F.min("key").over(window)).withColumn("size", F.count("*").over(window)).where("size > 1").drop("size")
     shared = checkpoint(shared)

@@ -277,3 +277,21 @@ def test_sketch_by_the_definition():
             for i in sorted(i for _, i in sorted(ranked)[: omh.LABELS]):
                 value = omh.mix(value * u(31) + kmers[i][0])
             assert found[t, h] == value.view(np.int64)[0]
+
+
+def test_near_pairs_are_found_at_every_length(spark):
+    """Pairs at the similarity's edge, by number of words: a tenth at most may be missed in any band."""
+    rng, rows, pairs = np.random.default_rng(12), [], {}
+    for n in (5, 8, 12, 20, 30, 33, 42, 45, 100, 300):
+        for _ in range(40):
+            words = prose(int(rng.integers(1 << 30)), n).split()
+            words = [f"{w}{rng.integers(1000)}" for w in words]
+            other = list(words)
+            for at in rng.choice(n, n // 4, replace=False):
+                other[at] = f"changed{rng.integers(1 << 30)}"
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+            pairs.setdefault(n, []).append((len(rows) - 2, len(rows) - 1))
+    found = {r.doc_id: r.group_id for r in omh.near_duplicates(spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"]))).collect()}
+    for n, own in pairs.items():
+        assert sum(found[a] == found[b] for a, b in own) >= 0.9 * len(own), n
+    assert sum(len(p) for p in pairs.values()) + 0 <= len(set(found.values())) <= 1.1 * len(rows) / 2
