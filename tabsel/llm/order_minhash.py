@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from . import alignment
 from .common import U64, batches, checkpoint, content_key, documents, flat_bytes, fresh, mix, separators, span_hashes, word_bounds
 
-K, LABELS, HASHES, SIMILARITY = 2, 2, 32, 0.75
-#: Texts of fewer words are found by k-mers one word shorter. Those that may be near such a text and near a longer one have both sketches.
-SHORT = 32
+K, LABELS, HASHES, SIMILARITY = 3, 2, 32, 0.75
+#: Size of the k-mers (K at most) and the fewest words of a text that has such a sketch. It reaches up to the longest text near one that
+#: hasn't the next sketch, so that two texts near each other share a kind. Shorter k-mers find pairs that longer ones miss in short texts.
+BANDS = ((1, 1), (2, 32), (3, 256))
 #: Word classes of a profile.
 PROFILE = 256
 #: Texts of a bucket that are compared in one place; more are a grid of such blocks.
@@ -89,10 +90,10 @@ def sketch(words: np.ndarray, edges: np.ndarray, k: int = K, hashes: int = HASHE
 def sketches(docs: DataFrame, text: str, similarity: float = SIMILARITY, k: int = K, hashes: int = HASHES) -> DataFrame:
     """(key, doc_id, n_bytes, n_words, sketch) of a table (key, doc_id, text); the sketch of a text without words is null.
 
-    k-mers suit texts of SHORT words and more, k-mers one word shorter those that a text of fewer words can be near to.
-    Two texts near each other are both of one kind at least.
+    A text has a sketch for each of BANDS that it falls into, one after another.
     """
-    top = int(SHORT / similarity)
+    tops = [int(least / similarity) for _, least in BANDS[1:]]
+    bands = [(min(k, size), least, top) for (size, least), top in zip(BANDS, [*tops, 1 << 62])]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, text):
@@ -100,7 +101,8 @@ def sketches(docs: DataFrame, text: str, similarity: float = SIMILARITY, k: int
             words, edges = words_of(column)
             n = np.diff(edges)
             values, owner = [], []
-            for chosen, size in ((n >= SHORT, k), ((n > 0) & (n <= top), max(1, k - 1))):
+            for size, least, top in bands:
+                chosen = (n >= least) & (n <= top)
                 at = np.flatnonzero(chosen)
                 if len(at):
                     own = np.repeat(chosen, n)
