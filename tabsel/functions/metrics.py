@@ -51,11 +51,6 @@ def _clip(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
 
 
-def _rmse(rows: DataFrame, groups: list[str] = []) -> DataFrame:  # noqa: B006
-    e = F.col("p") - F.col("y")
-    return _mean(e * e)(rows, groups).withColumn("score", F.sqrt("score"))
-
-
 def confidence(rows: DataFrame) -> DataFrame:
     """rows with the confidence and the correctness of the top label, and the bin of the confidence."""
     if "proba" in rows.columns:
@@ -85,6 +80,28 @@ def multiclass_auc(rows: DataFrame, groups: list[str] = []) -> DataFrame:  # noq
 
 
 
+def row_value(name: str, p: Column, y: Column, many: bool = False) -> Column:
+    """What a row adds to a metric that is a mean over rows (rmse: its square). many: p is an array of probabilities."""
+    if name == "accuracy":
+        label = F.array_position(p, F.array_max(p)) - 1 if many else (p >= 0.5).cast("int")
+        return (label == y).cast("double")
+    if name == "log_loss":
+        return -F.ln(_clip(F.element_at(p, y.cast("int") + 1) if many else F.when(y == 1, p).otherwise(1 - p)))
+    if name in ("brier", "rmse"):
+        off = lambda x, i: x - F.when(i == y, 1.0).otherwise(0.0)
+        return F.aggregate(F.transform(p, lambda x, i: off(x, i) * off(x, i)), F.lit(0.0), lambda a, b: a + b) if many else (p - y) * (p - y)
+    if name == "mae":
+        return F.abs(p - y)
+    raise ConfigError(f"metric {name!r} is no mean over rows")
+
+
+def by_rollup(metric: Metric, rows: DataFrame, model: str, block: str) -> DataFrame:
+    """(model, block, score) of a metric that is a mean over rows: each block, each model (block null) and all (both null), one aggregate."""
+    value = row_value(metric.name, F.col("proba" if "proba" in rows.columns else "p"), F.col("y"), "proba" in rows.columns)
+    out = rows.rollup(model, block).agg(F.try_divide(F.sum(F.col("w") * value), F.sum("w")).alias("score"))
+    return out.withColumn("score", F.sqrt("score")) if metric.name == "rmse" else out
+
+
 @dataclass(frozen=True)
 class Metric:
     """name, whether greater is better, what it needs (proba, class or value), and whether calibration may be judged by it."""
@@ -107,20 +124,10 @@ class Metric:
             if many:
                 raise ConfigError("pr_auc is for two classes")
             return pr_auc(rows, g)
-        if self.name == "accuracy":
-            label = F.array_position("proba", F.array_max("proba")) - 1 if many else (F.col("p") >= 0.5).cast("int")
-            return _mean((label == F.col("y")).cast("double"))(rows, g)
-        if self.name == "log_loss":
-            true = F.element_at("proba", F.col("y").cast("int") + 1) if many else F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
-            return _mean(-F.ln(_clip(true)))(rows, g)
-        if self.name == "brier":
-            square = F.aggregate(F.transform("proba", lambda p, i: (p - F.when(i == F.col("y"), 1.0).otherwise(0.0)) * (p - F.when(i == F.col("y"), 1.0).otherwise(0.0))), F.lit(0.0), lambda a, b: a + b) if many else (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-            return _mean(square)(rows, g)
         if self.name == "ece":
             return ece(rows, g)
-        if self.name == "rmse":
-            return _rmse(rows, g)
-        return _mean(F.abs(F.col("p") - F.col("y")))(rows, g)
+        out = _mean(row_value(self.name, F.col("proba" if many else "p"), F.col("y"), many))(rows, g)
+        return out.withColumn("score", F.sqrt("score")) if self.name == "rmse" else out
 
 
 METRICS = {m.name: m for m in (Metric("roc_auc", True, "proba"), Metric("pr_auc", True, "proba"), Metric("accuracy", True, "class"), Metric("log_loss", False, "proba", True), Metric("brier", False, "proba", True), Metric("ece", False, "proba"), Metric("rmse", False, "value"), Metric("mae", False, "value"))}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions.expressions import uniform
+from ..functions.expressions import digest, uniform, with_rid
+from ..functions.metrics import EDGES, confidence, row_value
 
+log = logging.getLogger("tabsel")
 MIN_TAIL, MIN_BLOCKS, FEW_BLOCKS = 50, 4, 8
-#: Replicates are drawn from a broadcast copy of the scores up to so many rows; beyond, by Poisson weights on the executors.
-EXACT_ROWS = 2_000_000
 
 
 def check_tail(alpha: float, n_boot: int) -> None:
@@ -33,71 +34,6 @@ def equivalent(deltas: np.ndarray, alpha: float) -> bool:
     return bool(lo <= 0 <= hi)
 
 
-class _Scores:
-    """One candidate's scores, sorted once, so that replicates are weights and never sorted again."""
-
-    def __init__(self, metric: str, y: np.ndarray, p: np.ndarray, w: np.ndarray) -> None:
-        self.metric, self.w = metric, w
-        if metric in ("roc_auc", "pr_auc"):
-            self.order = np.argsort(p, kind="stable")
-            s = p[self.order]
-            self.ends = np.append(np.flatnonzero(s[1:] != s[:-1]), len(s) - 1)
-            self.y = y[self.order]
-        else:
-            q = np.clip(p, 2.220446049250313e-16, 1 - 2.220446049250313e-16) if metric == "log_loss" else p
-            self.value = {"accuracy": lambda: ((p >= 0.5) == (y == 1)).astype(float), "log_loss": lambda: -np.where(y == 1, np.log(q), np.log(1 - q)), "brier": lambda: (p - y) ** 2, "rmse": lambda: (p - y) ** 2, "mae": lambda: np.abs(p - y)}[metric]()
-
-    def score(self, times: np.ndarray) -> float:
-        w = self.w * times
-        if self.metric not in ("roc_auc", "pr_auc"):
-            total = w.sum()
-            mean = float(w @ self.value / total) if total else np.nan
-            return mean**0.5 if self.metric == "rmse" else mean
-        w = w[self.order]
-        pos, neg = np.cumsum(w * (self.y == 1))[self.ends], np.cumsum(w * (self.y != 1))[self.ends]
-        if not pos[-1] or not neg[-1]:
-            return np.nan
-        if self.metric == "pr_auc":
-            tp, n = pos[-1] - np.append(0, pos[:-1]), (pos + neg)[-1] - np.append(0, (pos + neg)[:-1])
-            return float((np.diff(np.append(0, pos)) * np.divide(tp, n, out=np.zeros_like(tp), where=n > 0)).sum() / pos[-1])
-        step_pos, step_neg = np.diff(np.append(0, pos)), np.diff(np.append(0, neg))
-        return float((step_pos * (neg - step_neg / 2)).sum() / (pos[-1] * neg[-1]))
-
-
-def deltas(rows: DataFrame, metric: str, n_boot: int = 1000, seed: int = 0, block: str | None = None) -> np.ndarray:
-    """Differences of the metric of pa and pb over n_boot resamples of rows (y, pa, pb, w), or of whole blocks.
-
-    Replicates run in parallel; replicate b draws from the seed and b alone, whatever the other candidates are.
-    """
-    spark = rows.sparkSession
-    n = rows.count()
-    if n > EXACT_ROWS:
-        return poisson_deltas(rows, metric, n_boot, seed)
-    cols = ["y", "pa", "pb", "w"] + ([block] if block else [])
-    pdf = rows.select(*cols).orderBy(*cols).toPandas()
-    shared = spark.sparkContext.broadcast({c: pdf[c].to_numpy() for c in cols})
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = shared.value
-        y, w = d["y"].astype(float), d["w"].astype(float)
-        a, b = (_Scores(metric, y, d[c].astype(float), w) for c in ("pa", "pb"))
-        codes = np.unique(d[block], return_inverse=True)[1] if block else None
-        for pdf in it:
-            out = []
-            for r in pdf["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                if codes is None:
-                    times = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y))
-                else:
-                    k = codes.max() + 1
-                    times = np.bincount(rng.integers(0, k, k), minlength=k)[codes]
-                out.append(a.score(times) - b.score(times))
-            yield pd.DataFrame({"id": pdf["id"], "d": out})
-
-    found = spark.range(0, n_boot, 1, min(n_boot, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "id long, d double")
-    return np.array([r["d"] for r in found.orderBy("id").collect()], float)
-
-
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
 
@@ -113,48 +49,153 @@ def poisson_sums(rows: DataFrame, key: str, values: list[str], n_boot: int, seed
     return reps.groupBy("b").agg(F.sum("__w").alias("w"), *(F.sum(F.col("__w") * F.col(v)).alias(v) for v in values))
 
 
-def poisson_deltas(rows: DataFrame, metric: str, n_boot: int, seed: int) -> np.ndarray:
-    """Additive metrics: sums of Poisson-weighted losses, made in each partition for all replicates. AUC: over 4096 score bins."""
-    bins = 4096 if metric in ("roc_auc", "pr_auc") else 0
+_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def times_of(base: np.ndarray, replicate: int) -> np.ndarray:
+    """How often rows (or blocks) with these 64-bit numbers occur in a replicate: Poisson(1), 6 at most."""
+    with np.errstate(over="ignore"):
+        u = (_mix(base + np.uint64(replicate) * _GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.searchsorted(POISSON, u, side="right")
+
+
+def base_of(key: Column, seed: int) -> Column:
+    """64 bits of the md5 of seed:key."""
+    h = digest(key, seed)
+    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def _order(y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by rising score, where each score ends, and which rows are positive."""
+    order = np.argsort(p, kind="stable")
+    s = p[order]
+    return order, np.append(np.flatnonzero(s[1:] != s[:-1]), len(s) - 1), y[order] == 1
+
+
+def _sides(w: np.ndarray, ends: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the positives and the others at each score."""
+    at = lambda x: np.diff(np.append(0.0, np.cumsum(x)[ends]))
+    return at(w * positive), at(w * ~positive)
+
+
+def _curve(rows: DataFrame, score: str, label: Column, n_boot: int, seed: int, metric: str) -> np.ndarray:
+    """ROC or PR area of each replicate: rows lie in ranges of the score, of which only three sums a replicate leave a task.
+
+    The ranges are numbered by their least score, so nothing hangs on how rows are spread; equal scores share a range.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    table = rows.select(label.cast("int").alias("y"), F.col(score).cast("double").alias("p"), F.col("w").cast("double").alias("w"), "base").where("p is not null").repartitionByRange(parts, "p")
+
+    def collected(before: dict | None):
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [x for x in it if len(x)]
+            if not held:
+                return
+            d = pd.concat(held)
+            # an order of its own within equal scores, so that sums don't hang on how rows came
+            d = d.sort_values(["p", "base", "y", "w"], kind="stable")
+            y, p, w, base = d["y"].to_numpy(), d["p"].to_numpy(), d["w"].to_numpy(), d["base"].to_numpy().view(np.uint64)
+            order, ends, positive = _order(y, p)
+            out = np.zeros((n_boot, 3))
+            for r in range(n_boot):
+                pos, neg = _sides((w * times_of(base, r))[order], ends, positive)
+                out[r, 1:] = pos.sum(), neg.sum()
+                if before is None:
+                    out[r, 0] = pos @ (np.cumsum(neg) - neg / 2)
+                else:  # precision at each score, given what lies above this range
+                    above = before[float(p[0])][r]
+                    tp = np.cumsum(pos[::-1])[::-1] + above[0]
+                    n = np.cumsum((pos + neg)[::-1])[::-1] + above[0] + above[1]
+                    out[r, 0] = pos @ np.divide(tp, n, out=np.zeros_like(tp), where=n > 0)
+            yield pd.DataFrame({"lo": p[0], "b": range(n_boot), "s": out[:, 0], "pos": out[:, 1], "neg": out[:, 2]})
+
+        found = table.mapInPandas(run, "lo double, b int, s double, pos double, neg double").toPandas()
+        lows = np.sort(found["lo"].unique())
+        cube = np.zeros((len(lows), n_boot, 3))
+        cube[np.searchsorted(lows, found["lo"]), found["b"]] = found[["s", "pos", "neg"]].to_numpy()
+        return lows, cube
+
+    lows, cube = collected(None)
+    pos, neg = cube[..., 1], cube[..., 2]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if metric == "roc_auc":
+            below = np.cumsum(neg, 0) - neg
+            return (cube[..., 0] + pos * below).sum(0) / (pos.sum(0) * neg.sum(0))
+        above = np.stack([np.cumsum(x[::-1], 0)[::-1] - x for x in (pos, neg)], -1)
+        again = collected({float(lo): a for lo, a in zip(lows, above)})[1]
+        return np.where(pos.sum(0) * neg.sum(0) > 0, again[..., 0].sum(0) / pos.sum(0), np.nan)
+
+
+def _means(rows: DataFrame, values: dict[str, Column], n_boot: int) -> dict[str, np.ndarray]:
+    """The weighted mean of each value in each replicate; sums alone leave a task."""
+    names = list(values)
+    table = rows.select(F.col("w").cast("double").alias("w"), "base", *(v.cast("double").alias(n) for n, v in values.items()))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        total = np.zeros((n_boot, 4 * bins if bins else 3))
-        for pdf in it:
-            y, w = pdf["y"].to_numpy(float), pdf["w"].to_numpy(float)
-            for b in range(n_boot):
-                times = rng.poisson(1, len(y)) * w
-                if bins:
-                    for i, c in enumerate(("pa", "pb")):
-                        at = np.clip((pdf[c].to_numpy(float) * bins).astype(int), 0, bins - 1)
-                        for j, side in enumerate((y == 1, y != 1)):
-                            total[b, (2 * i + j) * bins : (2 * i + j + 1) * bins] += np.bincount(at, times * side, bins)
-                else:
-                    total[b] += [times @ _Scores(metric, y, pdf["pa"].to_numpy(float), w).value, times @ _Scores(metric, y, pdf["pb"].to_numpy(float), w).value, times.sum()]
-        yield pd.DataFrame({"b": range(n_boot), "v": list(total)})
-
-    parts = rows.select("y", "pa", "pb", "w").mapInPandas(run, "b int, v array<double>").select("b", F.posexplode("v").alias("i", "v"))
-    wide = parts.groupBy("b", "i").agg(F.sum("v").alias("v")).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v"))
-    out = np.empty(n_boot)
-    for r in wide.toLocalIterator():
-        v = np.array([x["v"] for x in r["v"]])
-        if not bins:
-            a, b = v[0] / v[2], v[1] / v[2]
-            out[r["b"]] = a**0.5 - b**0.5 if metric == "rmse" else a - b
-            continue
-        auc = []
-        for i in (0, 1):
-            pos, neg = v[2 * i * bins : (2 * i + 1) * bins], v[(2 * i + 1) * bins : (2 * i + 2) * bins]
-            auc.append((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()) if metric == "roc_auc" else _average_precision(pos, neg))
-        out[r["b"]] = auc[0] - auc[1]
-    return out
-
-
-def _average_precision(pos: np.ndarray, neg: np.ndarray) -> float:
-    tp, n = np.cumsum(pos[::-1]), np.cumsum((pos + neg)[::-1])
-    return float((pos[::-1] * np.divide(tp, n, out=np.zeros_like(tp), where=n > 0)).sum() / pos.sum())
+        out = np.zeros((n_boot, 1 + len(names)))
+        for d in it:
+            base, v = d["base"].to_numpy().view(np.uint64), np.column_stack([np.ones(len(d)), *(d[n] for n in names)]) * d["w"].to_numpy()[:, None]
+            for r in range(n_boot):
+                out[r] += times_of(base, r) @ v
+        yield pd.DataFrame({"b": range(n_boot)} | {n: out[:, i] for i, n in enumerate(["w", *names])})
+
+    sums = table.mapInPandas(run, ", ".join(["b int", *(f"`{n}` double" for n in ["w", *names])]))
+    found = sums.groupBy("b").agg(*(F.sum(n).alias(n) for n in ["w", *names])).orderBy("b").toPandas()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return {n: found[n].to_numpy() / found["w"].to_numpy() for n in names}
+
+
+def _numbered(rows: DataFrame, seed: int, block: str | None, key: str | None) -> DataFrame:
+    """rows with base, the number that decides how often a row (or its block) is drawn."""
+    if block:
+        return rows.withColumn("base", base_of(F.coalesce(F.col(block).cast("string"), F.lit("")), seed))
+    if key:
+        return rows.withColumn("base", base_of(F.col(key), seed))
+    return with_rid(rows, None, "__key").withColumn("base", base_of(F.col("__key"), seed))
+
+
+def deltas(rows: DataFrame, metric: str, n_boot: int = 1000, seed: int = 0, block: str | None = None, key: str | None = None) -> np.ndarray:
+    """Differences of the metric of pa and pb over n_boot replicates of rows (y, pa, pb, w), or of whole blocks.
+
+    A row, or with `block` all rows of a block, occurs Poisson(1) times in a replicate, by the hash of its key (`key`, or
+    the row's content) or block: the same for any partitioning and number of rows. pa and pb are scores, or with several
+    classes arrays of probabilities. Weights w are positive. Replicates without a score are NaN.
+    """
+    rows = _numbered(rows, seed, block, key)
+    many = rows.schema["pa"].dataType.typeName() == "array"
+    if metric in ("roc_auc", "pr_auc"):
+        if not many:
+            score = lambda c: _curve(rows, c, F.col("y") == 1, n_boot, seed, metric)
+            return score("pa") - score("pb")
+        classes = rows.select(F.max(F.size("pa"))).first()[0] or 0
+        each = []
+        for k in range(classes):
+            one = rows.withColumns({c: F.element_at(c, k + 1) for c in ("pa", "pb")})
+            each.append(_curve(one, "pa", F.col("y") == k, n_boot, seed, metric) - _curve(one, "pb", F.col("y") == k, n_boot, seed, metric))
+        return np.mean(each, 0)
+    if metric == "ece":
+        return _ece(rows, "pa", many, n_boot) - _ece(rows, "pb", many, n_boot)
+    found = _means(rows, {c: row_value(metric, F.col(c), F.col("y"), many) for c in ("pa", "pb")}, n_boot)
+    return np.sqrt(found["pa"]) - np.sqrt(found["pb"]) if metric == "rmse" else found["pa"] - found["pb"]
+
+
+def _ece(rows: DataFrame, c: str, many: bool, n_boot: int) -> np.ndarray:
+    binned = confidence(rows.select("y", "w", "base", F.col(c).alias("proba" if many else "p")))
+    gap = F.col("right") - F.col("conf")
+    found = _means(binned, {f"g{i}": F.when(F.col("bin") == i, gap).otherwise(0.0) for i in range(len(EDGES) - 1)}, n_boot)
+    return np.sum([np.abs(v) for v in found.values()], 0)
+
+
+def poisson_deltas(rows: DataFrame, metric: str, n_boot: int, seed: int) -> np.ndarray:
+    """deltas() of rows, none of which has a key."""
+    return deltas(rows, metric, n_boot, seed)
 
 
 def block_deltas(scores: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
@@ -162,6 +203,8 @@ def block_deltas(scores: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
     d = scores[np.isfinite(scores)]
     if len(d) < MIN_BLOCKS:
         raise ConfigError(f"{len(d)} blocks with a score are too few, {MIN_BLOCKS} are needed")
+    if len(d) < FEW_BLOCKS:
+        log.warning("%d blocks give a coarse interval", len(d))
     rng = np.random.default_rng(seed)
     return d[rng.integers(0, len(d), (n_boot, len(d)))].mean(1)
 

@@ -25,11 +25,12 @@ class Calibrator:
         if self.kind == "sigmoid":
             out = 1 / (1 + F.exp(F.lit(self.a) * p + F.lit(self.b)))
         else:
-            out = F.lit(self.ys[-1])
-            for i in range(len(self.xs) - 1, 0, -1):
-                x0, x1, y0, y1 = self.xs[i - 1], self.xs[i], self.ys[i - 1], self.ys[i]
-                out = F.when(p < x1, F.lit(y0) + (p - x0) * ((y1 - y0) / (x1 - x0) if x1 > x0 else 0.0)).otherwise(out)
-            out = F.when(p <= self.xs[0], F.lit(self.ys[0])).otherwise(out)
+            # one array of points and one search in it, however many points there are
+            xs, ys = F.array(*map(F.lit, self.xs)), F.array(*map(F.lit, self.ys))
+            at = F.size(F.filter(xs, lambda x: x <= p))  # points up to p
+            x0, y0 = F.get(xs, at - 1), F.get(ys, at - 1)
+            x1, y1 = F.get(xs, at), F.get(ys, at)
+            out = F.when(at == 0, F.lit(self.ys[0])).when(at == len(self.xs), F.lit(self.ys[-1])).otherwise(y0 + (p - x0) * ((y1 - y0) / (x1 - x0)))
         return F.least(F.greatest(out, F.lit(EPS)), F.lit(1 - EPS))
 
 
@@ -87,11 +88,38 @@ def crossfit(rows: DataFrame, block: str, kind: str = "auto") -> DataFrame:
     return out
 
 
+def one_against_rest(rows: DataFrame, k: int) -> DataFrame:
+    """rows of several classes as rows of two: class k and its probability."""
+    return rows.withColumn("y", (F.col("y") == k).cast("int")).withColumn("p", F.element_at("proba", k + 1)).drop("proba")
+
+
+def fit_classes(rows: DataFrame, classes: int, kind: str = "auto") -> list[Calibrator]:
+    """A calibrator for each class against the rest."""
+    return [fit(one_against_rest(rows, k), kind) for k in range(classes)]
+
+
+def apply_classes(calibrators: list[Calibrator], proba: Column) -> Column:
+    """Each class mapped by its own calibrator; the sum is 1."""
+    mapped = F.array(*(c.apply(F.element_at(proba, k + 1)) for k, c in enumerate(calibrators)))
+    return F.transform(mapped, lambda x: x / F.aggregate(mapped, F.lit(0.0), lambda a, b: a + b))
+
+
+def crossfit_classes(rows: DataFrame, block: str, classes: int, kind: str = "auto") -> DataFrame:
+    """rows with proba_cal, as crossfit()."""
+    out = None
+    for r in rows.select(block).distinct().orderBy(block).collect():
+        cs = fit_classes(rows.where(F.col(block) != r[0]), classes, kind)
+        part = rows.where(F.col(block) == r[0]).withColumn("proba_cal", apply_classes(cs, F.col("proba")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def gate(rows: DataFrame) -> dict:
     """Brier and calibration error before and after, of rows with p and p_cal; used only if the Brier score isn't worse."""
     from ..functions.metrics import METRICS
 
-    after = rows.drop("p").withColumnRenamed("p_cal", "p")
+    c = "proba" if "proba_cal" in rows.columns else "p"
+    after = rows.drop(c).withColumnRenamed(f"{c}_cal", c)
     get = lambda m, d: METRICS[m].score(d).first()["score"]
     out = {f"{m}_{when}": get(m, d) for m in ("brier", "ece") for when, d in (("before", rows), ("after", after))}
     return out | {"applied": out["brier_after"] <= out["brier_before"]}

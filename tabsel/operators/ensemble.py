@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS
 
-#: The greedy search works on a driver copy of the predictions up to so many numbers, else by one aggregate a step.
-MATRIX = 50_000_000
-
 
 def blend(columns: list[Column], weights: list[float]) -> Column:
     out = columns[0] * F.lit(float(weights[0]))
@@ -38,7 +35,7 @@ def common_rows(oof: DataFrame, models: int, key: str = "rid") -> DataFrame:
 
 def wide(oof: DataFrame, models: list[str], key: str = "rid") -> DataFrame:
     """(key, y, w, m0, m1, ...): predictions side by side, for the rows that all models predicted."""
-    out = oof.groupBy(key).pivot("model_id", models).agg(F.first("p"))
+    out = oof.groupBy(key).pivot("model_id", models).agg(F.first("proba" if "proba" in oof.columns else "p"))
     base = oof.groupBy(key).agg(F.first("y").alias("y"), F.first("w").alias("w"))
     named = out.select(key, *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(models)))
     return base.join(named, key).dropna(subset=[f"m{i}" for i in range(len(models))])
@@ -47,7 +44,8 @@ def wide(oof: DataFrame, models: list[str], key: str = "rid") -> DataFrame:
 def score_blends(table: DataFrame, blends: list[list[float]], m: int, metric: str) -> list[float]:
     """Scores of all blends in one job."""
     columns = [F.col(f"m{i}") for i in range(m)]
-    long = table.select("y", "w", F.posexplode(F.array(*(blend(columns, b) for b in blends))).alias("b", "p"))
+    many = table.schema["m0"].dataType.typeName() == "array"
+    long = table.select("y", "w", F.posexplode(F.array(*((blend_arrays if many else blend)(columns, b) for b in blends))).alias("b", "proba" if many else "p"))
     found = {r["b"]: r["score"] for r in METRICS[metric].score(long, ["b"]).collect()}
     return [found[i] for i in range(len(blends))]
 

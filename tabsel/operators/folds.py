@@ -2,40 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import ConfigError, SchemaError
 from ..functions.expressions import digest, uniform
 
-#: With more rows than this a plain k-fold takes hash buckets instead of exactly equal parts (one task would order all rows).
+#: Rows are numbered in ranges of their order of about so many rows.
 EXACT_ROWS = 5_000_000
-#: Up to so many groups are dealt out greedily on the driver; beyond, in snake order by size.
-GREEDY_GROUPS = 200_000
+#: Rows in md5 order are numbered in so many ranges of the hash.
+RANGES = 256
+
+
+def hash_places(df: DataFrame, key: str, seed: int, by: list[str] | None = None, name: str = "place") -> DataFrame:
+    """df with the place from 0 in md5 order within `by`. No task orders them all: ranges of the hash are numbered apart."""
+    by = by or []
+    parts = df.withColumn("__range", F.floor(uniform(F.col(key), seed) * RANGES).cast("int"))
+    cells = [*by, "__range"]
+    sizes = parts.groupBy(*cells).agg(F.count("*").alias("c"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    own = F.row_number().over(Window.partitionBy(*cells).orderBy(digest(F.col(key), seed), key)) - 1
+    right = before.toDF(*(f"__r{i}" for i in range(len(cells))), "__before")
+    same = [parts[c].eqNullSafe(right[f"__r{i}"]) for i, c in enumerate(cells)]
+    out = parts.withColumn(name, own).join(right, same).withColumn(name, F.col(name) + F.col("__before"))
+    return out.drop("__before", "__range", *(f"__r{i}" for i in range(len(cells))))
 
 
 def holdout(df: DataFrame, key: str, fraction: float = 0.25, stratify: str | None = None, seed: int = 42) -> DataFrame:
     """df with is_test: the first ceil(fraction n) rows of each class in md5 order. Without classes, of all rows, by hash share."""
     if stratify is None:
         return df.withColumn("is_test", uniform(F.col(key), seed) < fraction)
-    w = Window.partitionBy(stratify)
-    place = F.row_number().over(w.orderBy(digest(F.col(key), seed), key))
-    return df.withColumn("is_test", place <= F.ceil(F.lit(fraction) * F.count("*").over(w)))
+    sizes = df.groupBy(F.col(stratify).alias("__class")).agg(F.ceil(F.lit(fraction) * F.count("*")).alias("__take"))
+    placed = hash_places(df, key, seed, [stratify], "__place")
+    both = placed.join(sizes, placed[stratify].eqNullSafe(sizes["__class"]))
+    return both.withColumn("is_test", F.col("__place") < F.col("__take")).drop("__place", "__class", "__take")
 
 
 def stratified_kfold(df: DataFrame, key: str, y: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
     """df with fold 0..k-1: rows of each class dealt out in md5 order."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(y).orderBy(digest(F.col(key), seed), key)) - 1) % k)
+    return hash_places(df, key, seed, [y], name).withColumn(name, (F.col(name) % k).cast("int"))
 
 
-def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold", exact: bool | None = None) -> DataFrame:
-    """df with fold 0..k-1: equal parts in md5 order, or with many rows (or exact=False) hash buckets, which need no shuffle."""
-    if exact is None:
-        exact = df.count() <= EXACT_ROWS
+def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold", exact: bool = True) -> DataFrame:
+    """df with fold 0..k-1: equal parts in md5 order, or with exact=False hash buckets, which need no shuffle."""
     if not exact:
         return df.withColumn(name, F.floor(uniform(F.col(key), seed) * k).cast("int"))
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(digest(F.col(key), seed), key)) - 1) % k)
+    return hash_places(df, key, seed, name=name).withColumn(name, (F.col(name) % k).cast("int"))
 
 
 def snake(place: Column, k: int) -> Column:
@@ -44,44 +57,61 @@ def snake(place: Column, k: int) -> Column:
     return F.when(turn == 0, at).otherwise(k - 1 - at)
 
 
+def deal(sizes: list[tuple[tuple[int, ...], int]], k: int) -> list[tuple[list[int], list[int]]]:
+    """For each kind of group (rows by class, number of such groups): the folds of the first of them, and the folds that the others take in turn.
+
+    Kinds come largest first. One class: each group goes to the fold with the fewest rows so far; once the folds differ
+    by no more than a group, this is a turn. Several: to the fold where the classes' shares become most even; of many
+    groups of a kind only so many are dealt that the turns of the others come out even.
+    """
+    if not sizes:
+        return []
+    classes = len(sizes[0][0])
+    totals = np.maximum(sum(np.array(v, float) * n for v, n in sizes), 1)
+    load, out = np.zeros((k, classes)), []
+    for own, n in sizes:
+        v, first = np.array(own, float), []
+        while len(first) < n:
+            left = n - len(first)
+            rows = load.sum(1)
+            if classes == 1 and np.ptp(rows) <= v[0] or classes > 1 and left % k == 0 and left > 0 and len(first) >= 8 * k:
+                break
+            if classes == 1:
+                f = int(rows.argmin())
+            else:
+                share = load / totals
+                spread = [np.var(np.where(np.arange(k)[:, None] == f, share + v / totals, share), axis=0).sum() for f in range(k)]
+                f = min(range(k), key=lambda i: (round(spread[i], 12), rows[i], i))
+            first.append(f)
+            load[f] += v
+        turn = [int(f) for f in np.lexsort((np.arange(k), load.sum(1)))]
+        left = n - len(first)
+        for i, f in enumerate(turn):
+            load[f] += v * (left // k + (i < left % k))
+        out.append((first, turn))
+    return out
+
+
 def group_kfold(df: DataFrame, group: str, k: int = 5, name: str = "fold", y: str | None = None) -> DataFrame:
     """df with fold 0..k-1, whole groups together.
 
-    Up to GREEDY_GROUPS groups go, largest first, to the fold with the fewest rows so far (with y: where the class
-    counts become most even); more go in snake order by size.
+    Groups go, largest first, to the fold with the fewest rows so far (with y: where the class counts become most even).
+    Groups alike in their counts are one row for the driver, which deals kinds; a group takes its fold by its place among
+    those of its kind.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    if sizes.count() > GREEDY_GROUPS:
-        return snake_groups(df, group, k, name)
     if y is None:
-        rows = sorted(((r["n"], r[group]) for r in sizes.collect()), key=lambda r: (-r[0], str(r[1])))
-        load, deal = [0] * k, []
-        for n, g in rows:
-            f = load.index(min(load))
-            load[f] += n
-            deal.append((g, f))
+        kinds = df.groupBy(group).agg(F.array(F.count("*")).alias("__kind"))
     else:
-        per = {}
-        for r in df.groupBy(group, y).count().collect():
-            per.setdefault(r[group], {})[r[y]] = r["count"]
-        labels = sorted({label for v in per.values() for label in v}, key=str)
-        totals = {label: sum(v.get(label, 0) for v in per.values()) for label in labels}
-        load, deal = [dict.fromkeys(labels, 0) for _ in range(k)], []
-        for g, own in sorted(per.items(), key=lambda x: (-sum(x[1].values()), str(x[0]))):
-            spread = []
-            for f in range(k):
-                cost = 0.0
-                for label in labels:
-                    shares = [(load[i][label] + (own.get(label, 0) if i == f else 0)) / max(totals[label], 1) for i in range(k)]
-                    mean = sum(shares) / k
-                    cost += sum((s - mean) ** 2 for s in shares)
-                spread.append((cost, sum(load[f].values()), f))
-            f = min(spread)[2]
-            for label, n in own.items():
-                load[f][label] += n
-            deal.append((g, f))
-    table = df.sparkSession.createDataFrame(deal, df.select(group).schema.add(name, T.IntegerType()))
-    return df.join(table, group)
+        labels = [r[0] for r in df.select(y).distinct().orderBy(y).collect()]
+        kinds = df.groupBy(group).agg(F.array(*(F.count_if(F.col(y).eqNullSafe(F.lit(label))) for label in labels)).alias("__kind"))
+    found = sorted(((tuple(r["__kind"]), r["n"]) for r in kinds.groupBy("__kind").agg(F.count("*").alias("n")).toLocalIterator()), key=lambda r: (-sum(r[0]), r[0]))
+    table = [(list(kind), first, turn) for (kind, _), (first, turn) in zip(found, deal(found, k))]
+    dealt = df.sparkSession.createDataFrame(table, "__kind array<bigint>, __first array<int>, __turn array<int>")
+    placed = hash_places(kinds, group, 0, ["__kind"], "__place").join(dealt, "__kind")
+    n = F.size("__first")
+    fold = F.when(F.col("__place") < n, F.get("__first", F.col("__place").cast("int"))).otherwise(F.get("__turn", ((F.col("__place") - n) % k).cast("int")))
+    groups = placed.select(F.col(group).alias("__group"), fold.cast("int").alias(name))
+    return df.join(groups, df[group].eqNullSafe(groups["__group"])).drop("__group")
 
 
 def snake_groups(df: DataFrame, group: str, k: int = 5, name: str = "fold") -> DataFrame:
@@ -90,19 +120,32 @@ def snake_groups(df: DataFrame, group: str, k: int = 5, name: str = "fold") -> D
     return df.join(sizes.select(group, snake(place, k).cast("int").alias(name)), group)
 
 
+def ordinal(df: DataFrame, c: str) -> Column:
+    """A number that rises with a column's values: the value, its microseconds, or of a string the first six bytes."""
+    kind = df.schema[c].dataType.typeName()
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if kind == "string":
+        return F.conv(F.hex(F.substring(F.rpad(F.encode(F.col(c), "UTF-8"), 6, F.lit(b"\0")), 1, 6)), 16, 10).cast("double")
+    return F.col(c).cast("double")
+
+
 def positions(df: DataFrame, time: str, key: str, name: str = "pos", rows: int | None = None) -> DataFrame:
     """df with the place from 0 by (time, key).
 
-    Beyond EXACT_ROWS rows no task orders them all: ranges of time are numbered apart and the sizes of the ranges
-    before are added. The ranges are persisted, so they are drawn once.
+    No task orders them all: ranges of time, of about EXACT_ROWS rows, are numbered apart, and the sizes of the ranges
+    before are added. A row's range is an expression of its time, so it is the same whenever it is computed.
     """
-    if (df.count() if rows is None else rows) <= EXACT_ROWS:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(time, key)) - 1)
-    parts = df.repartitionByRange(time, key).withColumn("__part", F.spark_partition_id()).persist()
+    n = (df.count() if rows is None else rows) // EXACT_ROWS
+    at = ordinal(df, time)
+    edges = sorted(set(df.agg(F.percentile_approx(at, [(i + 1) / (n + 1) for i in range(n)], 10_000)).first()[0] or [])) if n else []
+    part = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>"), lambda e: e <= at)) if edges else F.lit(0)
+    parts = df.withColumn("__part", F.coalesce(part, F.lit(-1)))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("c"))
     before = sizes.withColumn("offset", F.coalesce(F.sum("c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(time, key)) - 1
-    return parts.withColumn(name, own).join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("offset")).drop("__part", "offset")
+    # a row for each range
+    return parts.withColumn(name, own).join(before, "__part").withColumn(name, F.col(name) + F.col("offset")).drop("__part", "offset")
 
 
 def instant(df: DataFrame, c: str) -> Column:

@@ -10,6 +10,8 @@ from ..errors import SchemaError
 from ..functions.expressions import category_key
 
 INTEGERS = ("byte", "short", "integer", "long")
+#: A target with more classes is refused.
+MAX_LABELS = 10_000
 FLOATS = ("float", "double", "decimal")
 DATES = ("date", "timestamp_ntz", "timestamp")
 
@@ -70,9 +72,11 @@ def validate_target(df: DataFrame, target: str, task: Task) -> list:
         if not df.agg(F.count(target)).first()[0]:
             raise SchemaError(f"target {target} has nulls only")
         return []
-    labels = sorted(r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().limit(10_001).collect())
+    labels = sorted(r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().limit(MAX_LABELS + 1).collect())
     if not labels:
         raise SchemaError(f"target {target} has nulls only")
+    if len(labels) > MAX_LABELS:
+        raise SchemaError(f"target {target} has more than {MAX_LABELS} classes")
     if task.kind == "binary" and len(labels) > 2:
         raise SchemaError(f"target {target} has {len(labels)} classes, two are allowed")
     if len(labels) < 2:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig, preset
 from ..core import FeatureSchema, Task
-from ..errors import ConfigError, SchemaError
+from ..errors import ConfigError, FitFailedError, SchemaError
 from ..functions.expressions import digest, nan_to_null, with_rid
 from ..functions.metrics import resolve
 from ..operators import calibration, ensemble, features, folds, profile, selection
@@ -24,6 +24,8 @@ from . import models
 from .evaluate import Budget, evaluate, out_of_fold, refine
 
 log = logging.getLogger("tabsel")
+#: Share of the training rows that tells models when to stop early, where no time scheme carves such rows.
+ES_SHARE = 0.1
 
 
 class AutoML:
@@ -84,7 +86,7 @@ class AutoML:
         fingerprint = hashlib.sha256(json.dumps([asdict(c), self.schema.to_json(), data_signature(dev.drop("rid")), [asdict(s) for s in specs], pyspark.__version__], default=str, sort_keys=True).encode()).hexdigest()
         self.fingerprint = fingerprint
         budget = Budget(c.budget.time_budget_s, c.budget.n_trials, c.budget.memory_limit_mb)
-        self.result = evaluate(specs, encoded, self.schema.features, classes, self.metric.name, k, parts, c.seed, c.alpha, c.n_boot, c.significance, "fold" if parts is not None else None, c.cv.weighting, budget, f"{self.store}/{fingerprint}" if self.store else None)
+        self.result = evaluate(specs, encoded, self.schema.features, classes, self.metric.name, k, parts, c.seed, c.alpha, c.n_boot, c.significance, "fold" if parts is not None else None, c.cv.weighting, budget, f"{self.store}/{fingerprint}" if self.store else None, ES_SHARE if parts is None else 0.0)
         self.refined = None
         if c.cv.selection == "refined" and classes == 2 and parts is None:
             self.refined = refine(self.result, self.metric.name, least=c.cv.refinement_min_oof)
@@ -101,7 +103,7 @@ class AutoML:
         if c.run_mode == "full":
             t = time.monotonic()
             train = features.apply(dev, self.schema)
-            self.models = {n: by_name[n].fit(train, self.schema.features, "y", "w", classes, c.seed) for n in self.weights}
+            self._refit(by_name, train, classes)
             if held is not None:
                 # scored once; then the models see all rows
                 scored = self._score_rows(features.apply(held, self.schema))
@@ -110,10 +112,26 @@ class AutoML:
                 gain = self.metric.sign * (self.holdout_score - best)
                 self.holdout_optimism = {"delta": gain, "suspicious": gain > 0.1 * abs(best)}
                 full = features.apply(data, self.schema)
-                self.models = {n: by_name[n].fit(full, self.schema.features, "y", "w", classes, c.seed) for n in self.weights}
+                self._refit(by_name, full, classes)
             self._timed("refit", t)
         return self
 
+    def _refit(self, by_name: dict, rows: DataFrame, classes: int) -> None:
+        """Fit what is shipped. A member of a blend that fails is left out, and the others' weights sum to 1; its calibrator goes where the winner does."""
+        self.models, reasons = {}, {}
+        for n in list(self.weights):
+            try:
+                self.models[n] = by_name[n].fit(rows, self.schema.features, "y", "w", classes, self.config.seed)
+            except Exception as e:
+                reasons[n] = f"{type(e).__name__}: {str(e)[:200]}"
+                log.warning("%s left out of the shipped model: %s", n, reasons[n])
+        if not self.models:
+            raise FitFailedError(f"no member could be fitted again: {reasons}")
+        if reasons:
+            total = sum(self.weights[n] for n in self.models)
+            self.weights = {n: self.weights[n] / total for n in self.models}
+            self.calibrator, self.calibration = None, {"applied": False, "reason": "member_lost"}
+
     def _carve(self, data: DataFrame, group, time_col, label_time) -> tuple[DataFrame, DataFrame | None]:
         cv = self.config.cv
         if not cv.outer_holdout:
@@ -176,6 +194,8 @@ class AutoML:
         if not spec.space or c.hpo.models and spec.name not in c.hpo.models:
             return spec
         inner = folds.kfold(encoded.drop("fold"), "rid", c.hpo.inner_cv, c.seed + 1).persist()
+        for col in self.schema.target:  # codes met in an inner fold are encoded by the other inner folds
+            inner = features.crossfit(inner.drop(f"{col}_te"), col, "y", "fold", c.fe.te_smoothing, f"{col}_te", len(self.schema.categories[col]))
         start, best = time.monotonic(), (-np.inf, spec, {})
         for i in range(c.hpo.n_trials):
             if c.hpo.timeout_s and i and time.monotonic() - start > c.hpo.timeout_s:
@@ -248,41 +268,45 @@ class AutoML:
         subset = [names[i] for i in keep]
         a, b = oof(names), oof(subset)
         lost = False
-        if classes <= 2 and len(subset) < len(names):
+        if len(subset) < len(names):
             from ..operators.bootstrap import deltas, equivalent
 
-            rows = a.select("rid", "y", "w", F.col("p").alias("pa")).join(b.select("rid", F.col("p").alias("pb")), "rid")
-            lost = not equivalent(deltas(rows, self.metric.name, c.n_boot, c.seed), c.alpha) and value(a) > value(b)
+            score = F.col("proba" if classes > 2 else "p")
+            rows = a.select("rid", "y", "w", score.alias("pa")).join(b.select("rid", score.alias("pb")), "rid")
+            lost = not equivalent(deltas(rows, self.metric.name, c.n_boot, c.seed, key="rid"), c.alpha) and value(a) > value(b)
         return (names if lost else subset), {"strategy": strategy, "scores": None if scores is None else dict(zip(names, map(float, scores))), "kept": names if lost else subset, "gate": "full_set_better" if lost else "subset"}
 
     def _blend(self, classes: int) -> dict:
         c, names = self.config, [r["model_id"] for r in self.result.leaderboard]
-        if len(names) < 2 or classes > 2:
-            return {"shipped": False, "reason": "single_candidate" if len(names) < 2 else "several_classes"}
+        if len(names) < 2:
+            return {"shipped": False, "reason": "single_candidate"}
         table = ensemble.wide(self.result.oof, names).persist()
         metric = c.ensemble.metric or self.metric.name
-        weights = ensemble.caruana(table, len(names), metric, c.ensemble.size, c.ensemble.n_bags, c.seed) if c.ensemble.method == "caruana" else ensemble.simplex_weights(table, len(names), "log_loss" if classes else "rmse")
+        weights = ensemble.caruana(table, len(names), metric, c.ensemble.size, c.ensemble.n_bags, c.seed) if c.ensemble.method == "caruana" or classes > 2 else ensemble.simplex_weights(table, len(names), "log_loss" if classes else "rmse")
         cols = [F.col(f"m{i}") for i in range(len(names))]
         best = names.index(self.result.winner)
         s_blend, s_best = ensemble.score_blends(table, [weights, [float(i == best) for i in range(len(names))]], len(names), self.metric.name)
         from ..operators.bootstrap import deltas, equivalent
 
-        rows = table.select("y", "w", ensemble.blend(cols, weights).alias("pa"), F.col(f"m{best}").alias("pb"))
-        same = equivalent(deltas(rows, self.metric.name, c.n_boot, c.seed), c.alpha)
+        rows = table.select("rid", "y", "w", (ensemble.blend_arrays if classes > 2 else ensemble.blend)(cols, weights).alias("pa"), F.col(f"m{best}").alias("pb"))
+        same = equivalent(deltas(rows, self.metric.name, c.n_boot, c.seed, key="rid"), c.alpha)
         ships, why = ensemble.decide(weights, table.count(), s_blend, s_best, self.metric.sign, same)
         if ships:
             self.weights = {n: w for n, w in zip(names, weights) if w > 1e-6}
         return {"shipped": ships, "reason": why, "weights": dict(zip(names, weights)), "score": s_blend}
 
     def _calibrate(self, classes: int, timed: bool) -> None:
-        if timed or classes != 2:
-            self.calibration = {"applied": False, "reason": "time_ordered" if timed else "two_classes_only"}
+        if timed or classes < 2:
+            self.calibration = {"applied": False, "reason": "time_ordered" if timed else "regression"}
+            return
+        rows, kind = self.result.oof.where(F.col("model_id") == self.result.winner), self.config.cv.calibrate
+        if not calibration.viable_blocks(rows, "fold").where("not viable").isEmpty():
+            self.calibration = {"applied": False, "reason": "too_few_rows"}
             return
-        rows = self.result.oof.where(F.col("model_id") == self.result.winner)
-        report = calibration.gate(calibration.crossfit(rows, "fold", self.config.cv.calibrate))
+        report = calibration.gate(calibration.crossfit(rows, "fold", kind) if classes == 2 else calibration.crossfit_classes(rows, "fold", classes, kind))
         self.calibration = report
         if report["applied"]:
-            self.calibrator = calibration.fit(rows, self.config.cv.calibrate)
+            self.calibrator = calibration.fit(rows, kind) if classes == 2 else calibration.fit_classes(rows, classes, kind)
 
     def _score_rows(self, encoded: DataFrame) -> DataFrame:
         """encoded with p or proba of the shipped model (or blend), not calibrated."""
@@ -306,7 +330,20 @@ class AutoML:
             p = self.calibrator.apply(F.col("p")) if self.calibrator else F.col("p")
             return out.select("__row.*", label.alias("prediction"), F.array(1 - p, p).alias("probability"))
         at = F.array_position("proba", F.array_max("proba")).cast("int")
-        return out.select("__row.*", F.element_at(F.array(*map(F.lit, self.labels)), at).alias("prediction"), F.col("proba").alias("probability"))
+        out = out.withColumn("prediction", F.element_at(F.array(*map(F.lit, self.labels)), at))
+        if self.calibrator:
+            out = out.withColumn("proba", calibration.apply_classes(self.calibrator, F.col("proba")))
+        return out.select("__row.*", "prediction", F.col("proba").alias("probability"))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """df with prediction: the label, or the value of a regression."""
+        return self.transform(df).drop("probability")
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """df with a column p_<label> for each class, in the order of labels."""
+        if not self.labels:
+            raise ConfigError("a regression has no probabilities")
+        return self.transform(df).withColumns({f"p_{x}": F.element_at("probability", i + 1) for i, x in enumerate(self.labels)}).drop("prediction", "probability")
 
     def score(self, df: DataFrame, target: str, weight: str | None = None) -> float:
         y = F.col(target).cast("double") if not self.labels else sum((F.when(F.col(target) == x, i).otherwise(0) for i, x in enumerate(self.labels) if i), F.lit(0))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import BudgetExhausted, FitFailedError
 from ..functions.metrics import METRICS, by_period
 from ..operators import bootstrap
+from ..operators.folds import group_es, iid_es
 from .models import ModelSpec
 
 
@@ -54,17 +55,21 @@ class Result:
     oof: DataFrame | None = None
 
 
-def out_of_fold(spec: ModelSpec, data: DataFrame, features: list[str], classes: int, folds: DataFrame | None, k: int, seed: int, threads: int = 2) -> DataFrame:
+def out_of_fold(spec: ModelSpec, data: DataFrame, features: list[str], classes: int, folds: DataFrame | None, k: int, seed: int, threads: int = 2, es_share: float = 0.0, group: str | None = None) -> DataFrame:
     """(model_id, rid, fold, y, w, p or proba) of all folds.
 
     data has rid, y, w, the features, and fold, the fold that tests a row; or the fold table (rid, fold, part) says who
-    trains where. Folds run side by side; what is trained depends on seed, model and fold alone.
+    trains where. Without a fold table es_share of the training rows (of each class, or of the groups) tell models that
+    stop early when to stop. Folds run side by side; what is trained depends on seed, model and fold alone.
     """
     keep = ["rid", "fold", "y", "w", "proba" if classes > 2 else "p"]
 
     def one(f: int) -> DataFrame | None:
         if folds is None:
             train, test, es = data.where(F.col("fold") != f), data.where(F.col("fold") == f), None
+            if spec.early_stopping and es_share:
+                carve = group_es(train, group, es_share) if group else iid_es(train, "rid", es_share, "y" if classes else None)
+                train, es = carve.withColumn("__is_es", F.col("part") == "es").drop("part"), "__is_es"
         else:
             part = folds.where(F.col("fold") == f).select("rid", "part")
             own = data.drop("fold").join(part, "rid")
@@ -85,7 +90,7 @@ def out_of_fold(spec: ModelSpec, data: DataFrame, features: list[str], classes:
     return out.withColumn("model_id", F.lit(spec.name))
 
 
-def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], classes: int, metric: str, k: int, folds: DataFrame | None = None, seed: int = 42, alpha: float = 0.05, n_boot: int = 1000, significance: str = "bootstrap", block: str | None = None, weighting: str = "pooled", budget: Budget | None = None, store: str | None = None) -> Result:
+def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], classes: int, metric: str, k: int, folds: DataFrame | None = None, seed: int = 42, alpha: float = 0.05, n_boot: int = 1000, significance: str = "bootstrap", block: str | None = None, weighting: str = "pooled", budget: Budget | None = None, store: str | None = None, es_share: float = 0.0, group: str | None = None) -> Result:
     """The leaderboard of the specs; a candidate that fails is listed with its reason.
 
     store: a folder for the candidates' predictions, by model; those there with their commit mark are not made again.
@@ -104,7 +109,7 @@ def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], class
             if path and _done(spark, path):
                 scored[spec.name] = spark.read.parquet(path).withColumn("model_id", F.lit(spec.name))
                 continue
-            oof = out_of_fold(spec, data, features, classes, folds, k, seed)
+            oof = out_of_fold(spec, data, features, classes, folds, k, seed, es_share=es_share, group=group)
             if path:
                 oof.drop("model_id").write.mode("overwrite").parquet(path)
                 oof = spark.read.parquet(path).withColumn("model_id", F.lit(spec.name))
@@ -130,15 +135,14 @@ def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], class
         bootstrap.check_tail(alpha, n_boot)
 
         def same(a: str, b: str) -> bool:
-            if classes > 2:
-                return scores[a] == scores[b]
-            pa = table.where(F.col("model_id") == a).select("rid", "y", "w", F.col("p").alias("pa"), *([block] if block else []))
-            pb = table.where(F.col("model_id") == b).select("rid", F.col("p").alias("pb"))
+            score = "proba" if classes > 2 else "p"
+            pa = table.where(F.col("model_id") == a).select("rid", "y", "w", F.col(score).alias("pa"), *([block] if block else []))
+            pb = table.where(F.col("model_id") == b).select("rid", F.col(score).alias("pb"))
             if weighting == "period":  # each block's difference weighs the same
                 per = {(r["model_id"], r["fold"]): r["score"] for r in m.score(table.where(F.col("model_id").isin(a, b)), ["model_id", "fold"]).collect()}
                 d = [per.get((a, f)) - per.get((b, f)) for f in sorted({f for _, f in per}) if per.get((a, f)) is not None and per.get((b, f)) is not None]
                 return bootstrap.equivalent(bootstrap.block_deltas(np.array(d, float), n_boot, seed), alpha)
-            return bootstrap.equivalent(bootstrap.deltas(pa.join(pb, "rid"), metric, n_boot, seed, block), alpha)
+            return bootstrap.equivalent(bootstrap.deltas(pa.join(pb, "rid"), metric, n_boot, seed, block, "rid"), alpha)
 
         members = bootstrap.band(order, same)
     else:

@@ -16,7 +16,45 @@ from ..errors import ConfigError, FitFailedError
 from ..functions.metrics import align_proba
 
 
-EXACT_MEDIAN_ROWS = 5_000_000
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The median of each column's values (the mean of the two middle ones), null or NaN left out; None without any.
+
+    Approximate percentiles bracket the middle ranks; the values within are counted, a few in 100,000 of the rows, or as
+    many as tie. So the result is exact for any number of rows, and no task holds all distinct values.
+    """
+    x = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
+    near = df.agg(*(F.percentile_approx(x[c], [0.49998, 0.50002], 100_000).alias(f"q{i}") for i, c in enumerate(columns)), *(F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns))).first()
+    known = {i: (near[f"q{i}"][0], near[f"q{i}"][1]) for i in range(len(columns)) if near[f"n{i}"]}
+    if not known:
+        return dict.fromkeys(columns)
+    # the bracket's own rank error is twice the width at most: ranks outside it are counted, and the bracket widened if need be
+    out: dict[str, float | None] = dict.fromkeys(columns)
+    for widen in (False, True):
+        if not known:
+            break
+        pieces = [F.struct(F.lit(i).alias("i"), F.when(x[columns[i]] < lo, F.lit(-1)).when(x[columns[i]] > hi, F.lit(1)).otherwise(0).alias("side"), (x[columns[i]] if widen else F.when(x[columns[i]].between(lo, hi), x[columns[i]])).alias("v")) for i, (lo, hi) in known.items()]
+        counts = df.select(F.inline(F.array(*pieces))).where("side is not null").groupBy("i", "side", "v").agg(F.count("*").alias("c"))
+        by: dict[int, list] = {}
+        for r in counts.toLocalIterator():
+            if r["side"] or r["v"] is not None:
+                by.setdefault(r["i"], []).append((r["side"], r["v"], r["c"]))
+        for i, cells in by.items():
+            n = near[f"n{i}"]
+            ordered = sorted((v, c) for side, v, c in cells if v is not None and (widen or not side))
+            seen = 0 if widen else sum(c for side, _, c in cells if side < 0)
+            found = []
+            for rank in sorted({(n - 1) // 2, n // 2}):
+                at, value = seen, None
+                for v, c in ordered:
+                    if at <= rank < at + c:
+                        value = v
+                        break
+                    at += c
+                found.append(value)
+            if None not in found:
+                out[columns[i]] = float(sum(found) / len(found))
+        known = {i: k for i, k in known.items() if out[columns[i]] is None}
+    return out
 
 
 @dataclass
@@ -73,10 +111,7 @@ class ModelSpec:
         """df has the features (categoricals as codes), y (class index or value), the weight, and perhaps a column marking early-stopping rows."""
         if self.name == "baseline":
             return self._baseline(df, features, y, weight, classes)
-        # exact medians hold every distinct value; with very many rows their error is held to 1 in 100,000 ranks instead
-        middle = F.median if df.count() <= EXACT_MEDIAN_ROWS else lambda c: F.percentile_approx(c, 0.5, 100_000)
-        medians = dict(zip(features, df.agg(*(middle(F.col(f"`{c}`").cast("double")) for c in features)).first()))
-        medians = {c: (0.0 if m is None else float(m)) for c, m in medians.items()}
+        medians = {c: (0.0 if m is None else m) for c, m in exact_medians(df, features).items()}
         data = df.withColumns({f"__f_{i}": F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians[c])) for i, c in enumerate(features)})
         data = data.select(*(f"__f_{i}" for i in range(len(features))), F.col(y).cast("double").alias("__y"), F.col(weight).cast("double").alias("__w"), *([F.col(es).alias("__es")] if es else []))
         fitted = Fitted(self, features, classes, medians=medians)

@@ -175,7 +175,15 @@ def fold_group_customer(spark, sf):
     return folds.snake_groups(table(spark, sf, "orders"), "o_custkey").select("o_orderkey", F.col("fold").cast("bigint").alias("fold"))
 
 
-@query()
+def _greedy_sql(groups: str) -> str:
+    """Groups, largest first, to the fold with the fewest rows so far; equal groups are alike in the result."""
+    return f"""with recursive g as ({groups}), o as (select n, row_number() over (order by n desc) as i from g),
+w as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as load, [0, 0, 0, 0, 0]::bigint[] as c
+ union all select w.i + 1, list_transform(range(1, 6), lambda x: w.load[x] + case when x = list_position(w.load, list_min(w.load)) then o.n else 0 end), list_transform(range(1, 6), lambda x: w.c[x] + (x = list_position(w.load, list_min(w.load)))::bigint) from w join o on o.i = w.i + 1),
+z as (select * from w order by i desc limit 1) select cast(f - 1 as integer) as fold, load[f] as n, c[f] as groups from z, (select unnest(range(1, 6)) as f)"""
+
+
+@query(_greedy_sql("select count(*) as n from orders group by o_custkey"))
 def fold_group_greedy(spark, sf):
     return folds.group_kfold(table(spark, sf, "orders"), "o_custkey").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("groups"))
 
@@ -422,16 +430,90 @@ def viable_blocks(spark, sf):
     return calibration.viable_blocks(_oof(spark, sf).withColumn("block", F.weekofyear("ts")), "block")
 
 
-@query()
+@query(f"""with recursive {_OOF}, t as (select sum(case when y = 1 then w else 0 end)::double as p, sum(case when y = 1 then 0 else w end)::double as n from o),
+d as (select p as x, case when y = 1 then (select (p + 1) / (p + 2) from t) else (select 1 / (n + 2) from t) end as t, sum(w)::double as w from o group by 1, 2),
+s as (select 0 as i, 0.0::double as a, (select ln((n + 1) / (p + 1)) from t) as b
+ union all select i + 1, a - (s3 * g1 - s2 * g2) / (s1 * s3 - s2 * s2), b - (s1 * g2 - s2 * g1) / (s1 * s3 - s2 * s2) from (
+  select i, a, b, sum(w * (t - q) * x) as g1, sum(w * (t - q)) as g2, sum(w * q * (1 - q) * x * x) as s1, sum(w * q * (1 - q) * x) as s2, sum(w * q * (1 - q)) as s3
+  from (select s.i, s.a, s.b, d.x, d.t, d.w, 1 / (1 + exp(s.a * d.x + s.b)) as q from s, d where s.i < 12) group by i, a, b))
+select round(a, 6) as a, round(b, 6) as b from s where i = 12""")
 def platt_fit(spark, sf):
     c = calibration.fit_sigmoid(_oof(spark, sf))
-    return spark.createDataFrame([(c.a, c.b)], "a double, b double")
+    return rounded(spark.createDataFrame([(c.a, c.b)], "a double, b double"), 6)
 
 
-@query()
+@query(f"""with {_OOF}, d as (select p, sum(w)::double as w, sum(w * y)::double as s, row_number() over (order by p) as i from o group by p), c as (select p, i, sum(w) over (order by i) as w, sum(s) over (order by i) as s from d),
+r as (select a.i, b.i as j, (b.s - a.s) / (b.w - a.w) as m from (select 0 as i, 0.0::double as w, 0.0::double as s union all select i, w, s from c) a join c b on b.i > a.i),
+u as (select d.i, r.i as lo, min(r.m) as m from d join r on r.i < d.i and r.j >= d.i group by all), v as (select d.p, d.i, round(max(u.m), 8) as y from d join u using (i) group by all),
+z as (select *, lag(y) over (order by i) as a, lead(y) over (order by i) as b from v) select p as x, y from z where a is null or b is null or a <> y or b <> y""")
 def isotonic_pav(spark, sf):
     c = calibration.fit_isotonic(_oof(spark, sf))
-    return spark.createDataFrame(list(zip(c.xs, c.ys)), "x double, y double")
+    return rounded(spark.createDataFrame(list(zip(c.xs, c.ys)), "x double, y double"))
+
+
+def _mixed(x: str) -> str:
+    """The finaliser of the replicates' numbers on an unsigned 64-bit x."""
+    times = lambda v, m: f"(({v})::uhugeint * {m}::uhugeint % 18446744073709551616::uhugeint)::ubigint"
+    a = times(f"xor({x}, {x} >> 30)", 0xBF58476D1CE4E5B9)
+    b = times(f"xor(({a}), ({a}) >> 27)", 0x94D049BB133111EB)
+    return f"xor(({b}), ({b}) >> 31)"
+
+
+def _boot_sql(metric: str, key: str, n: int) -> str:
+    """Differences of two candidates over n replicates, the weights drawn by hash as bootstrap.deltas() does."""
+    thresholds = " + ".join(f"(u >= {x!r}::double)::int" for x in bootstrap.POISSON)
+    start = f"""with {_OOF}, c as (select event_id, y, w, weekofyear(ts) as block, p as pa, round(1 - p * 0.5::double, 3)::double as pb from o where event_id % 17 <> 0 and event_id % 13 <> 0),
+k as (select *, ('0x' || substring(md5('7:' || {key}), 1, 16))::ubigint as base from c), r as (select unnest(range({n})) as b),
+x as (select r.b, k.*, ((base::uhugeint + b::uhugeint * 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint)::ubigint as x0 from k, r),
+m as (select b, y, w, pa, pb, x0 from x), h as (select *, {_mixed('x0')} as x3 from m),
+t as (select *, w * ({thresholds}) as v from (select *, (x3 >> 11)::double * 1.1102230246251565e-16 as u from h))"""
+    if metric == "brier":
+        return f"{start} select cast(b as integer) as b, round(sum(v * (pa - y) * (pa - y)) / sum(v) - sum(v * (pb - y) * (pb - y)) / sum(v), 8) as delta from t group by b"
+    auc = lambda p: f"(select b, sum(pos * (coalesce(below, 0) + neg / 2)) / (sum(pos) * sum(neg)) as a from (select b, pos, neg, sum(neg) over (partition by b order by {p} rows between unbounded preceding and 1 preceding) as below from (select b, {p}, sum(case when y = 1 then v else 0 end)::double as pos, sum(case when y = 1 then 0 else v end)::double as neg from t group by b, {p})) group by b)"
+    return f"{start} select cast(b as integer) as b, round(i.a - j.a, 8) as delta from {auc('pa')} i join {auc('pb')} j using (b)"
+
+
+def _deltas(spark, sf, metric: str, n: int, block: str | None) -> DataFrame:
+    both = ensemble.wide(_candidates(spark, sf), ["a", "b"]).select("rid", "y", "w", F.col("m0").alias("pa"), F.col("m1").alias("pb"))
+    if block:
+        both = both.join(table(spark, sf, "events").select(F.col("event_id").alias("rid"), F.weekofyear("ts").alias(block)), "rid")
+    d = bootstrap.deltas(both, metric, n, 7, block, "rid")
+    return rounded(spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(d)], "b int, delta double"))
+
+
+@query(_boot_sql("roc_auc", "event_id", 100))
+def bootstrap_auc_by_hash(spark, sf):
+    return _deltas(spark, sf, "roc_auc", 100, None)
+
+
+@query(_boot_sql("brier", "block", 100))
+def bootstrap_blocks_by_hash(spark, sf):
+    return _deltas(spark, sf, "brier", 100, "block")
+
+
+@query(f"with {_OOF}, c as (select 'a' as model_id, weekofyear(ts) as block, y, w, p from o union all select 'b', weekofyear(ts), y, w, round(1 - p * 0.5::double, 3) from o) select coalesce(model_id, 'all') as model_id, cast(coalesce(block, -1) as integer) as block, round(sum(w * ((p >= 0.5)::int = y)::int) / sum(w)::double, 8) as score from c group by rollup (model_id, block)")
+def metric_rollup(spark, sf):
+    base = _oof(spark, sf).withColumn("block", F.weekofyear("ts"))
+    both = base.withColumn("model_id", F.lit("a")).unionByName(base.withColumn("p", F.round(1 - F.col("p") * 0.5, 3)).withColumn("model_id", F.lit("b")))
+    out = M.by_rollup(M.METRICS["accuracy"], both, "model_id", "block")
+    return rounded(out.select(F.coalesce("model_id", F.lit("all")).alias("model_id"), F.coalesce("block", F.lit(-1)).alias("block"), "score"))
+
+
+@query("select 'l_quantity' as column_name, median(l_quantity)::double as median from lineitem union all select 'l_extendedprice', median(l_extendedprice)::double from lineitem union all select 'tax', median(case when l_orderkey % 3 = 0 then null else l_tax end)::double from lineitem")
+def feature_medians(spark, sf):
+    from .models import exact_medians
+
+    rows = table(spark, sf, "lineitem").withColumn("tax", F.when(F.col("l_orderkey") % 3 == 0, None).otherwise(F.col("l_tax")))
+    return spark.createDataFrame(list(exact_medians(rows, ["l_quantity", "l_extendedprice", "tax"]).items()), "column_name string, median double")
+
+
+@query("""with t as (select event_id, user_id, epoch_us(ts) as t, event_id % 4 as fold, case when event_id % 4 = 0 then 'test' else 'fit' end as part from events), b as (select event_id, user_id, t, part, 0 as fold from t union all select event_id, user_id, t, 'test', 0 from t where event_id % 10 = 1)
+select 0 as fold, cast(count(distinct case when event_id % 10 = 1 then event_id end) as bigint) as shared_rows, (select count(*) from (select user_id from b group by user_id having count(distinct part) > 1)) as shared_groups,
+cast(max(case when part <> 'test' then t end) >= min(case when part = 'test' then t end) as bigint) as overlapping_time from b""")
+def validate_bad_fold(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.when(F.col("event_id") % 4 == 0, "test").otherwise("fit").alias("part"), F.lit(0).alias("fold"))
+    bad = rows.unionByName(rows.where(F.col("event_id") % 10 == 1).withColumn("part", F.lit("test")))
+    return folds.check(bad, "event_id", "user_id", "t").select("fold", "shared_rows", "shared_groups", "overlapping_time")
 
 
 @query()
