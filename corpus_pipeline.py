@@ -25,10 +25,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder as Parquet and read again by the next."""
+    """The stages applied to documents, each written to the shared folder as Parquet and read again by the next.
+
+    What a stage wrote goes once the next has written its own; the last one's rows stay for the caller.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        if i:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
         docs = spark.read.parquet(f"{folder}/{i}")
     return docs
