@@ -24,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) a new one."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset on one machine (tests) a new one. On a cluster it must be set."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     set_dir = sc._jsc.sc().getCheckpointDir()
     if not set_dir.isDefined():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabsel-checkpoint-"))
         set_dir = sc._jsc.sc().getCheckpointDir()
     return set_dir.get()
