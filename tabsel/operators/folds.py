@@ -13,6 +13,8 @@ from ..functions.expressions import digest, uniform
 EXACT_ROWS = 5_000_000
 #: Rows in md5 order are numbered in so many ranges of the hash.
 RANGES = 256
+#: Tables of at most so many periods go to every task.
+BROADCAST_PERIODS = 200_000
 
 
 def hash_places(df: DataFrame, key: str, seed: int, by: list[str] | None = None, name: str = "place") -> DataFrame:
@@ -200,13 +202,38 @@ def _long(t: DataFrame, members: list[Column], key: str, time: str) -> DataFrame
 
 
 def carve_es(folds: DataFrame, key: str, n_es: int) -> DataFrame:
-    """(key, fold, part): the latest n_es training rows of each fold become 'es', the others 'fit'; one row stays 'fit' at least."""
-    w = Window.partitionBy("fold", "part")
-    late = F.row_number().over(w.orderBy(F.desc("__t"), F.desc(key)))
-    part = F.when(F.col("part") == "test", "test").when(late <= F.least(F.lit(n_es), F.count("*").over(w) - 1), "es").otherwise("fit")
+    """(key, fold, part): the latest n_es training rows of each fold become 'es', the others 'fit'; one row stays 'fit' at least.
+
+    No task orders a fold: only rows later than an approximate percentile of the times are ranked, to find the (time, key)
+    from which a fold's rows are 'es', a value for the driver; the rows are labelled where they are.
+    """
+    train = folds.where("part <> 'test'")
+    n = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    es = {f: max(0, min(n_es, c - 1)) for f, c in n.items()}
+    if not any(es.values()):
+        return folds.select(key, "fold", F.when(F.col("part") == "test", "test").otherwise("fit").alias("part"))
+    # the percentile's rank error is a 10,000th of the rows; twice that below the wanted rank is safe
+    of_fold = lambda values, kind: F.try_element_at(F.create_map(*(F.lit(x) for f, v in values.items() for x in (f, v))), F.col("fold")).cast(kind)
+    kind = folds.schema["__t"].dataType
+    shares = {f: max(0.0, 1 - es[f] / c - 2e-4) for f, c in n.items()}
+    lows = train.groupBy("fold").agg(F.percentile_approx("__t", sorted(set(shares.values())), 10_000).alias("q")).collect()
+    at = {s: i for i, s in enumerate(sorted(set(shares.values())))}
+    late = train.where(F.col("__t") >= of_fold({r["fold"]: r["q"][at[shares[r["fold"]]]] for r in lows}, kind))
+    cut = {r["fold"]: (r["t"], r["k"]) for r in _nth_latest(late, key, of_fold(es, "long")).collect()}
+    if short := [f for f, e in es.items() if e and f not in cut]:  # beyond the percentile's error: rank all rows of these folds
+        cut |= {r["fold"]: (r["t"], r["k"]) for r in _nth_latest(train.where(F.col("fold").isin(short)), key, of_fold(es, "long")).collect()}
+    t, k = of_fold({f: c[0] for f, c in cut.items()}, kind), of_fold({f: c[1] for f, c in cut.items()}, folds.schema[key].dataType)
+    is_es = (F.col("__t") > t) | (F.col("__t") == t) & (F.col(key) >= k)
+    part = F.when(F.col("part") == "test", "test").when(is_es, "es").otherwise("fit")
     return folds.select(key, "fold", part.alias("part"))
 
 
+def _nth_latest(rows: DataFrame, key: str, n: Column) -> DataFrame:
+    """(fold, t, k): time and key of the n-th latest row of each fold that has as many."""
+    w = Window.partitionBy("fold").orderBy(F.desc("__t"), F.desc(key))
+    return rows.withColumn("__late", F.row_number().over(w)).where(F.col("__late") == n).select("fold", F.col("__t").alias("t"), F.col(key).alias("k"))
+
+
 def period_key(df: DataFrame, time: str, period: str, size: float | None = None) -> Column:
     """Raw period number of a row: month, week (from Monday), day, or steps of `size` from the smallest time ('delta')."""
     c = F.col(time)
@@ -229,7 +256,9 @@ def dense_periods(df: DataFrame, time: str, period: str, size: float | None = No
     """df with the dense number of its period. The periods are numbered on their distinct values and joined back."""
     raw = df.withColumn("__raw", period_key(df, time, period, size))
     table = raw.select("__raw").distinct().withColumn(name, F.row_number().over(Window.orderBy("__raw")) - 1)
-    return raw.join(F.broadcast(table) if period != "delta" else table, "__raw").drop("__raw")
+    # long periods are few and hold many rows, which a shuffle by period would put into one task
+    few = period != "delta" or table.count() <= BROADCAST_PERIODS
+    return raw.join(F.broadcast(table) if few else table, "__raw").drop("__raw")
 
 
 def period_meta(df: DataFrame, time: str, period: str, size: float | None = None) -> DataFrame:

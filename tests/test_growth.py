@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsel.operators import bootstrap
+from tabsel.operators import bootstrap, folds
 
 
 def _brute(p, positive, w, base, r, above=None):
@@ -42,3 +42,20 @@ def test_equal_scores_are_spread_over_tasks(spark):
             for r in range(3):
                 (a, pos, neg), (b, _, _) = (_brute(d[c].to_numpy(), positive, w, base, r, None if metric == "roc_auc" else np.zeros((3, 2))) for c in ("pa", "pb"))
                 assert np.isclose(found[r], (a - b) / (pos * neg if metric == "roc_auc" else pos)) or not pos * neg and np.isnan(found[r])
+
+
+def test_no_task_orders_a_fold(spark):
+    """The latest training rows were found by ordering each fold whole in one task, after a shuffle by period."""
+    days = [3 * i % 40 for i in range(400)]
+    df = spark.createDataFrame([(i, d * 10) for i, d in enumerate(days)], "id long, t long").repartition(7)
+    f = folds.period_folds(df, "t", "id", "delta", k=3, size=50, n_es=13)
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(fold" not in plan
+    found = {}
+    for r in f.collect():
+        found.setdefault((r["fold"], r["part"]), set()).add(r["id"])
+    for k in range(3):
+        train = found[k, "fit"] | found[k, "es"]
+        assert train == {i for i, d in enumerate(days) if d // 5 < 5 + k} and found[k, "test"] == {i for i, d in enumerate(days) if d // 5 == 5 + k}
+        assert found[k, "es"] == set(sorted(train, key=lambda i: (days[i], i))[-13:])
+    assert {r["part"]: r["c"] for r in folds.period_folds(df.where("id < 40"), "t", "id", "delta", k=1, size=200, n_es=99).groupBy("part").agg(F.count("*").alias("c")).collect()} == {"test": 20, "es": 19, "fit": 1}
