@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import FeatureSchema, Role, Task
@@ -16,8 +16,27 @@ FLOATS = ("float", "double", "decimal")
 DATES = ("date", "timestamp_ntz", "timestamp")
 
 
+def distinct_counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """One row (n, m): the number of rows, and by place of a column its non-null and its distinct values (v, d).
+
+    Columns of one type are stacked as (place, value), so that a row to shuffle has one value and not all columns.
+    """
+    families: dict[str, list[Column]] = {}
+    types = df.select(*(v.alias(f"c{i}") for i, v in enumerate(values.values()))).schema
+    for i, v in enumerate(values.values()):
+        kind = types[i].dataType.typeName()
+        kind = "long" if kind in INTEGERS else "string" if kind in ("void", "char", "varchar") else types[i].dataType.simpleString()
+        families.setdefault(kind, []).append(F.struct(F.lit(i).alias("i"), v.cast(kind).alias("x")))
+    found = None
+    for pieces in families.values():
+        cells = df.select(F.inline(F.array(*pieces))).where("x is not null").groupBy("i", "x").agg(F.count("*").alias("c"))
+        part = cells.groupBy("i").agg(F.sum("c").alias("v"), F.count("*").alias("d"))
+        found = part if found is None else found.unionByName(part)
+    return df.agg(F.count("*").alias("n")).crossJoin(found.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("v", "d")))).alias("m")))
+
+
 def profile(df: DataFrame, task: Task, columns: list[str] | None = None) -> DataFrame:
-    """Rows (column_name, n, n_null, n_distinct, role, reason): one aggregate over all columns, the rules as expressions.
+    """Rows (column_name, n, n_null, n_distinct, role, reason): an aggregate for each type of column, the rules as expressions.
 
     Missing is null or NaN. Rules, in this order: no signal (not for dates), dates, strings, numbers, else categorical.
     """
@@ -28,8 +47,8 @@ def profile(df: DataFrame, task: Task, columns: list[str] | None = None) -> Data
     if ambiguous := [c for c, k in kinds.items() if k == "timestamp"]:
         raise SchemaError(f"columns {ambiguous} have a time zone; cast them to timestamp_ntz")
     present = {c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(df.schema[c].dataType)) if kinds[c] in ("float", "double") else F.col(f"`{c}`") for c in columns}
-    stats = df.agg(F.count("*").alias("n"), *(F.count(present[c]).alias(f"v{i}") for i, c in enumerate(columns)), *(F.count_distinct(present[c]).alias(f"d{i}") for i, c in enumerate(columns)))
-    long = stats.select("n", F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("kind"), F.col(f"v{i}").alias("v"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(columns)))))
+    stats = distinct_counts(df, present)
+    long = stats.select("n", F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("kind"), F.coalesce(F.col("m")[i]["v"], F.lit(0)).cast("long").alias("v"), F.coalesce(F.col("m")[i]["d"], F.lit(0)).cast("long").alias("n_distinct")) for i, c in enumerate(columns)))))
     rate, d, kind = F.col("n_distinct") / F.col("n"), F.col("n_distinct"), F.col("kind")
     is_date = kind.isin(*DATES)
     rules = [

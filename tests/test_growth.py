@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsel.operators import bootstrap, folds
+from tabsel.core import Task
+from tabsel.operators import bootstrap, folds, profile
 
 
 def _brute(p, positive, w, base, r, above=None):
@@ -59,3 +60,15 @@ def test_no_task_orders_a_fold(spark):
         assert train == {i for i, d in enumerate(days) if d // 5 < 5 + k} and found[k, "test"] == {i for i, d in enumerate(days) if d // 5 == 5 + k}
         assert found[k, "es"] == set(sorted(train, key=lambda i: (days[i], i))[-13:])
     assert {r["part"]: r["c"] for r in folds.period_folds(df.where("id < 40"), "t", "id", "delta", k=1, size=200, n_es=99).groupBy("part").agg(F.count("*").alias("c")).collect()} == {"test": 20, "es": 19, "fit": 1}
+
+
+def test_profile_stacks_columns_by_type(spark):
+    """A row was repeated, with all columns, for each column counted. All types, nulls, NaN and both zeros, and no rows."""
+    df = spark.sql("""select cast(id % 3 as int) as i, id as l, case when id % 4 = 0 then double('nan') when id % 4 = 1 then -0.0d else 0.0d end as d, cast(id % 2 as float) as f,
+        cast(id % 5 as decimal(9,2)) as m, if(id < 9, null, string(id)) as s, id % 2 = 0 as b, date_add(date'2024-01-01', int(id % 7)) as day, cast(null as string) as nothing,
+        cast(timestamp_ntz'2024-03-31 01:30:00' + make_dt_interval(0, int(id % 4)) as timestamp_ntz) as ts from range(20)""")
+    found = profile.profile(df, Task("binary"))
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(r["column_name"], r["n"], r["n_null"], r["n_distinct"]) for r in found.collect()]
+    assert rows == [("i", 20, 0, 3), ("l", 20, 0, 20), ("d", 20, 5, 1), ("f", 20, 0, 2), ("m", 20, 0, 5), ("s", 20, 9, 11), ("b", 20, 0, 2), ("day", 20, 0, 7), ("nothing", 20, 20, 0), ("ts", 20, 0, 4)]
+    assert {(r["n"], r["n_null"], r["n_distinct"]) for r in profile.profile(df.where("l < 0"), Task("binary")).collect()} == {(0, 0, 0)}
