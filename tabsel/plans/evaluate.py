@@ -15,7 +15,8 @@ from ..errors import BudgetExhausted, FitFailedError
 from ..functions.metrics import METRICS, by_period
 from ..operators import bootstrap
 from ..operators.folds import group_es, iid_es
-from .models import ModelSpec
+from .cells import stand_ins
+from .models import ModelSpec, release
 
 
 @dataclass
@@ -55,14 +56,16 @@ class Result:
     oof: DataFrame | None = None
 
 
-def out_of_fold(spec: ModelSpec, data: DataFrame, features: list[str], classes: int, folds: DataFrame | None, k: int, seed: int, threads: int = 2, es_share: float = 0.0, group: str | None = None) -> DataFrame:
+def out_of_fold(spec: ModelSpec, data: DataFrame, features: list[str], classes: int, folds: DataFrame | None, k: int, seed: int, threads: int = 2, es_share: float = 0.0, group: str | None = None, kept: list[dict] | None = None, packed: bool = False) -> DataFrame:
     """(model_id, rid, fold, y, w, p or proba) of all folds.
 
     data has rid, y, w, the features, and fold, the fold that tests a row; or the fold table (rid, fold, part) says who
     trains where. Without a fold table es_share of the training rows (of each class, or of the groups) tell models that
     stop early when to stop. Folds run side by side; what is trained depends on seed, model and fold alone.
+    kept: for each fold, what its models share. packed: without rid, and rows that a model can't tell apart may come as
+    one with their weight.
     """
-    keep = ["rid", "fold", "y", "w", "proba" if classes > 2 else "p"]
+    keep = [*([] if packed else ["rid"]), "fold", "y", "w", "proba" if classes > 2 else "p"]
 
     def one(f: int) -> DataFrame | None:
         if folds is None:
@@ -76,9 +79,18 @@ def out_of_fold(spec: ModelSpec, data: DataFrame, features: list[str], classes:
             test = own.where("part = 'test'").withColumn("fold", F.lit(f))
             train = own.where("part <> 'test'").withColumn("__is_es", F.col("part") == "es")
             es = "__is_es" if spec.early_stopping else None
-        if classes and train.select("y").distinct().count() < 2:
+        own = kept[f] if kept else {}
+        if classes and "classes" not in own:
+            own["classes"] = train.select("y").distinct().count()
+        if classes and own["classes"] < 2:
             return None
-        return spec.fit(train, features, "y", "w", classes, seed, es).transform(test).select(*keep)
+        model = spec.fit(train, features, "y", "w", classes, seed, es, own if kept else None)
+        if packed and kept and model.bounds is not None:
+            key = ("test", spec.params["max_bins"])  # the bounds are those of the fold's training rows
+            if key not in own:
+                own[key] = (stand_ins(test, features, model.medians, model.bounds),)
+            test = own[key][0]
+        return model.transform(test).select(*keep)
 
     with ThreadPoolExecutor(threads) as pool:
         parts = [p for p in pool.map(one, range(k)) if p is not None]
@@ -90,14 +102,24 @@ def out_of_fold(spec: ModelSpec, data: DataFrame, features: list[str], classes:
     return out.withColumn("model_id", F.lit(spec.name))
 
 
-def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], classes: int, metric: str, k: int, folds: DataFrame | None = None, seed: int = 42, alpha: float = 0.05, n_boot: int = 1000, significance: str = "bootstrap", block: str | None = None, weighting: str = "pooled", budget: Budget | None = None, store: str | None = None, es_share: float = 0.0, group: str | None = None) -> Result:
+def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], classes: int, metric: str, k: int, folds: DataFrame | None = None, seed: int = 42, alpha: float = 0.05, n_boot: int = 1000, significance: str = "bootstrap", block: str | None = None, weighting: str = "pooled", budget: Budget | None = None, store: str | None = None, es_share: float = 0.0, group: str | None = None, keep: bool = True) -> Result:
     """The leaderboard of the specs; a candidate that fails is listed with its reason.
 
     store: a folder for the candidates' predictions, by model; those there with their commit mark are not made again.
+    keep: whether the result has the predictions; without them, nor a store or a bootstrap, rows that a model can't tell
+    apart are scored as one.
     """
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    needed = {"rid", "fold", "y", "w", *features, *([block] if block else []), *([group] if group else [])}
+    data = data.select(*(F.col(f"`{c}`") for c in data.columns if c in needed)).persist(StorageLevel.MEMORY_AND_DISK)
     spark, m = data.sparkSession, METRICS[metric]
-    scored, failed, skipped, by = {}, [], [], None
+    scored, scores, failed, skipped, by = {}, {}, [], [], None
+    kept: list[dict] = [{} for _ in range(k)]
+    alone = not keep and not store and significance != "bootstrap"  # predictions are scored and not seen again
+
+    def score(oof: DataFrame) -> dict:
+        found = by_period(m, oof, "fold", ["model_id"]) if weighting == "period" else m.score(oof, ["model_id"])
+        return {r["model_id"]: r["score"] for r in found.collect()}
+
     for spec in specs:
         by = by or (budget.spent() if budget else None)
         if by:
@@ -107,26 +129,28 @@ def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], class
         try:
             path = f"{store}/model_id={spec.name}" if store else None
             if path and _done(spark, path):
-                scored[spec.name] = spark.read.parquet(path).withColumn("model_id", F.lit(spec.name))
+                oof = spark.read.parquet(path).withColumn("model_id", F.lit(spec.name))
+                scores |= score(oof)
+                scored[spec.name] = oof
                 continue
-            oof = out_of_fold(spec, data, features, classes, folds, k, seed, es_share=es_share, group=group)
+            oof = out_of_fold(spec, data, features, classes, folds, k, seed, es_share=es_share, group=group, kept=kept, packed=alone)
             if path:
                 oof.drop("model_id").write.mode("overwrite").parquet(path)
                 oof = spark.read.parquet(path).withColumn("model_id", F.lit(spec.name))
-            else:
+            elif not alone:
                 oof = oof.persist(StorageLevel.MEMORY_AND_DISK)
-                oof.count()  # errors of lazy work belong to this candidate
+            scores |= score(oof)  # errors of lazy work belong to this candidate
             scored[spec.name] = oof
         except Exception as e:  # a candidate's failure is a result
             failed.append({"model_id": spec.name, "reason": f"{type(e).__name__}: {str(e)[:200]}"})
     spark.sparkContext.setJobDescription(None)
+    for own in kept:
+        release(own)
     if not scored:
         raise BudgetExhausted(f"the {by} budget ended before any candidate") if by else FitFailedError(f"all candidates failed: {failed}")
     table = None
     for oof in scored.values():
         table = oof if table is None else table.unionByName(oof)
-    found = by_period(m, table, "fold", ["model_id"]) if weighting == "period" else m.score(table, ["model_id"])
-    scores = {r["model_id"]: r["score"] for r in found.collect()}
     if bad := [x for x in scored if scores.get(x) is None]:
         failed += [{"model_id": x, "reason": "the metric has no value"} for x in bad]
         scores = {k_: v for k_, v in scores.items() if v is not None}
@@ -150,7 +174,7 @@ def evaluate(specs: list[ModelSpec], data: DataFrame, features: list[str], class
     rank = {s.name: (len(features), s.complexity) for s in specs}
     best = bootstrap.winner(members, rank, order)
     board = [{"model_id": x, "score": float(scores[x]), "rank": i + 1, "in_band": x in members, "is_winner": x == best} for i, x in enumerate(order)]
-    return Result(board, members, best, failed, skipped, by, len(order) > 1 and order[1] in members, table)
+    return Result(board, members, best, failed, skipped, by, len(order) > 1 and order[1] in members, None if alone else table)
 
 
 def refine(result: Result, metric: str, block: str = "fold", kind: str = "auto", least: int = 2000) -> str | None:

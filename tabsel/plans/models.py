@@ -9,22 +9,34 @@ from importlib import metadata
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, FitFailedError
 from ..functions.metrics import align_proba
+from . import cells as packed
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+def _values(columns: list[str]) -> dict[str, Column]:
+    return {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
+
+
+def near_medians(df: DataFrame, columns: list[str], grid: int = 0) -> Row:
+    """n; and of column i its number of values n{i}, and approximate percentiles q{i}: as many as the grid has, evenly, and two about the median."""
+    x, at = _values(columns), [*((i + 0.5) / grid for i in range(grid)), 0.49998, 0.50002]
+    shares = F.split(F.lit(",".join(map(repr, at))), ",").cast("array<double>")
+    return df.agg(F.count("*").alias("n"), *(F.percentile_approx(x[c], shares, 100_000).alias(f"q{i}") for i, c in enumerate(columns)), *(F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns))).first()
+
+
+def exact_medians(df: DataFrame, columns: list[str], near: Row | None = None) -> dict[str, float | None]:
     """The median of each column's values (the mean of the two middle ones), null or NaN left out; None without any.
 
     Approximate percentiles bracket the middle ranks; the values within are counted, a few in 100,000 of the rows, or as
     many as tie. So the result is exact for any number of rows, and no task holds all distinct values.
     """
-    x = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
-    near = df.agg(*(F.percentile_approx(x[c], [0.49998, 0.50002], 100_000).alias(f"q{i}") for i, c in enumerate(columns)), *(F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns))).first()
-    known = {i: (near[f"q{i}"][0], near[f"q{i}"][1]) for i in range(len(columns)) if near[f"n{i}"]}
+    x = _values(columns)
+    near = near or near_medians(df, columns)
+    known = {i: (near[f"q{i}"][-2], near[f"q{i}"][-1]) for i in range(len(columns)) if near[f"n{i}"]}
     if not known:
         return dict.fromkeys(columns)
     # the bracket's own rank error is twice the width at most: ranks outside it are counted, and the bracket widened if need be
@@ -69,6 +81,7 @@ class Fitted:
     constant: list[float] | None = None
     importances: list[float] | None = None
     members: list[PipelineModel] | None = None
+    bounds: list[list[float]] | None = None  # of the cells it was fitted on
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.constant is not None:
@@ -107,11 +120,20 @@ class ModelSpec:
             raise ConfigError(f"model {self.name} has no settings {sorted(stray)}")
         return replace(self, params={**self.params, **params})
 
-    def fit(self, df: DataFrame, features: list[str], y: str, weight: str, classes: int, seed: int = 42, es: str | None = None) -> Fitted:
-        """df has the features (categoricals as codes), y (class index or value), the weight, and perhaps a column marking early-stopping rows."""
+    def fit(self, df: DataFrame, features: list[str], y: str, weight: str, classes: int, seed: int = 42, es: str | None = None, kept: dict | None = None) -> Fitted:
+        """df has the features (categoricals as codes), y (class index or value), the weight, and perhaps a column marking early-stopping rows.
+
+        kept: what models fitted on the same rows share (medians, cells); the caller releases it.
+        """
         if self.name == "baseline":
             return self._baseline(df, features, y, weight, classes)
-        medians = {c: (0.0 if m is None else m) for c, m in exact_medians(df, features).items()}
+        own = {} if kept is None else kept
+        if "near" not in own or self.name != "linear" and classes and not own["grid"]:
+            grid = packed.GRID if self.name != "linear" and classes else 0
+            own |= {"near": near_medians(df, features, grid), "grid": grid}
+        if "medians" not in own:
+            own["medians"] = {c: (0.0 if m is None else m) for c, m in exact_medians(df, features, own["near"]).items()}
+        medians = own["medians"]
         data = df.withColumns({f"__f_{i}": F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians[c])) for i, c in enumerate(features)})
         data = data.select(*(f"__f_{i}" for i in range(len(features))), F.col(y).cast("double").alias("__y"), F.col(weight).cast("double").alias("__w"), *([F.col(es).alias("__es")] if es else []))
         fitted = Fitted(self, features, classes, medians=medians)
@@ -119,7 +141,9 @@ class ModelSpec:
         if self.name == "linear":
             self._linear(data, assemble, fitted)
         else:
-            self._trees(data, assemble, fitted, seed, es)
+            self._trees(data, assemble, fitted, seed, es, own)
+            if kept is None:
+                release(own)
         return fitted
 
     def _baseline(self, df, features, y, weight, classes) -> Fitted:
@@ -152,14 +176,36 @@ class ModelSpec:
         x.unpersist()
         fitted.pipeline, fitted.importances = PipelineModel([assemble, scaler, model]), list(map(float, coefficients))
 
-    def _trees(self, data, assemble, fitted, seed, es) -> None:
+    def _cells(self, data, fitted, es, kept) -> tuple[DataFrame | None, list[list[float]]]:
+        """The training rows as cells, and the thresholds between their bins; no cells where few rows are alike."""
+        key = ("cells", bool(es), self.params["max_bins"])
+        if key not in kept:
+            near, bounds = kept["near"], []
+            for i, c in enumerate(fitted.features):
+                n, known = near["n"], near[f"n{i}"]
+                bounds.append(packed.edges(near[f"q{i}"][:-2], min(self.params["max_bins"], n), fitted.medians[c], 1 - known / n) if known else [])
+            kept[key] = packed.pack(data, [f"__f_{i}" for i in range(len(bounds))], bounds, near["n"], fitted.classes, bool(es)), bounds
+        return kept[key]
+
+    def _trees(self, data, assemble, fitted, seed, es, kept) -> None:
+        """Classes go by cells where rows are alike in their bins; otherwise the rows themselves are fitted."""
         from pyspark.ml import classification as C
         from pyspark.ml import regression as R
 
         p = self.params
-        x = assemble.transform(data)
+        cells, bounds = self._cells(data, fitted, es, kept) if fitted.classes else (None, [])
         many = fitted.classes > 2 and self.name == "gbt"
         common = dict(featuresCol="__x", weightCol="__w", maxDepth=p["max_depth"], maxBins=p["max_bins"], seed=seed)
+        if cells is not None:
+            fitted.bounds = bounds
+            top = max(2, int(cells.agg(F.max("__y")).first()[0]) + 1)
+            if self.name == "forest":
+                cells = packed.bags(cells, p["trees"], seed)
+            x = VectorAssembler(inputCols=[f"__b_{i}" for i in range(len(bounds))], outputCol="__x").transform(cells)
+            y = F.col("__y").alias("__y", metadata={"ml_attr": {"type": "nominal", "name": "__y", "vals": [str(k) for k in range(top)]}})
+            x = x.select("__x", y, *([F.col("__w"), F.col("__bag")] if self.name == "forest" else [(F.col("__w") * F.col("__n")).alias("__w")]), *(["__es"] if es else []))
+        else:
+            x = assemble.transform(data)
         if self.name == "forest":
             kind = C.RandomForestClassifier if fitted.classes else R.RandomForestRegressor
             model = kind(labelCol="__y", numTrees=p["trees"], **common)
@@ -169,18 +215,33 @@ class ModelSpec:
             if es:
                 model = model.setValidationIndicatorCol("__es").setParams(validationTol=0.01)
         x = x.persist()
+
+        def fit(rows: DataFrame):
+            if cells is None:
+                return model.fit(rows)
+            if self.name == "forest":
+                return packed.forest(rows, bounds, p["trees"], seed, top, common)
+            return packed.boosted(model.fit(rows), bounds, rows.sparkSession)
+
         try:
             if many:
-                fitted.members = [PipelineModel([assemble, model.fit(x.withColumn("__y", (F.col("__y") == k).cast("double")))]) for k in range(fitted.classes)]
+                fitted.members = [PipelineModel([assemble, fit(x.withColumn("__y", (F.col("__y") == k).cast("double")))]) for k in range(fitted.classes)]
                 found = [m.stages[-1].featureImportances.toArray() for m in fitted.members]
                 fitted.importances = [float(sum(f[i] for f in found) / len(found)) for i in range(len(fitted.features))]
             else:
-                fitted.pipeline = PipelineModel([assemble, model.fit(x)])
+                fitted.pipeline = PipelineModel([assemble, fit(x)])
                 fitted.importances = list(map(float, fitted.pipeline.stages[-1].featureImportances.toArray()))
         finally:
             x.unpersist()
 
 
+def release(kept: dict) -> None:
+    """Drop the cells that models shared."""
+    for key in [k for k in kept if isinstance(k, tuple)]:
+        if (cells := kept.pop(key)[0]) is not None:
+            cells.unpersist()
+
+
 ALL = ("binary", "multiclass", "regression")
 ZOO = {
     s.name: s

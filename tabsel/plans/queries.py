@@ -560,7 +560,7 @@ def leaderboard_trees(spark, sf):
     rows = folds.kfold(rows, "rid", 2, exact=False)
     from .evaluate import evaluate
 
-    r = evaluate([ZOO["baseline"], ZOO["forest"].with_params({"trees": 10, "max_depth": 4}), ZOO["gbt"].with_params({"trees": 5, "max_depth": 3})], rows, ["l_quantity", "l_extendedprice"], 2, "roc_auc", 2, significance="none")
+    r = evaluate([ZOO["baseline"], ZOO["forest"].with_params({"trees": 10, "max_depth": 4}), ZOO["gbt"].with_params({"trees": 5, "max_depth": 3})], rows, ["l_quantity", "l_extendedprice"], 2, "roc_auc", 2, significance="none", keep=False)
     return spark.createDataFrame(r.leaderboard, "model_id string, score double, rank int, in_band boolean, is_winner boolean")
 
 
